@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship
-from . import mixing, packing, store, tokens, urls
+from . import minhash, mixing, packing, store, tokens, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -44,5 +44,9 @@ def op9_url_rules(spark, sf_dir):
     return urls.judge(pages, labelled, URL_RULES, store.scratch(spark, "op9"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_tokens, op7_best_fit, op8_water_filling, op9_url_rules)}
+def op10_tensored_minhash(spark, sf_dir):
+    return minhash.clusters(table(spark, sf_dir, "documents"), store.scratch(spark, "op10"), k=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op2_packed_tokens, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
 ORACLE: dict[str, str] = {}
