@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship
-from . import minhash, mixing, packing, store, tokens, urls
+from . import lm, minhash, mixing, packing, store, tokens, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -26,6 +26,10 @@ def op2_packed_tokens(spark, sf_dir):
     return tokens.read(spark, manifest)
 
 
+def op3_deleted_interpolation(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"), store.scratch(spark, "op3"), is_table=True)
+
+
 def op7_best_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=2048, end_id=0)
 
@@ -48,5 +52,5 @@ def op10_tensored_minhash(spark, sf_dir):
     return minhash.clusters(table(spark, sf_dir, "documents"), store.scratch(spark, "op10"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_tokens, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
+QUERIES = {f.__name__: f for f in (op2_packed_tokens, op3_deleted_interpolation, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
 ORACLE: dict[str, str] = {}
