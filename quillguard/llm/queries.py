@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship
-from . import lm, minhash, mixing, packing, store, tokens, urls
+from . import fingerprints, langid, lm, minhash, mixing, packing, store, tokens, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -30,6 +30,17 @@ def op3_deleted_interpolation(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"), store.scratch(spark, "op3"), is_table=True)
 
 
+def op4_kneser_ney(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    held = F.coalesce(langid.folds(F.col("doc_id")) == 2, F.lit(True))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op5_chunk_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"), store.scratch(spark, "op5"))
+
+
 def op7_best_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=2048, end_id=0)
 
@@ -52,5 +63,5 @@ def op10_tensored_minhash(spark, sf_dir):
     return minhash.clusters(table(spark, sf_dir, "documents"), store.scratch(spark, "op10"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_tokens, op3_deleted_interpolation, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
+QUERIES = {f.__name__: f for f in (op2_packed_tokens, op3_deleted_interpolation, op4_kneser_ney, op5_chunk_fingerprints, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
 ORACLE: dict[str, str] = {}
