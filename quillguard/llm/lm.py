@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import store
-from .words import Hashes, mix, split
+from .words import hashes, mix, split
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
@@ -71,7 +71,7 @@ class Chunk:
 
 def chunks(batches, limit: int):
     """Chunks of a task's rows (doc_id, fold, text), in order; deleted documents have chunks of their own."""
-    part, hashes = TaskContext.get().partitionId(), Hashes()
+    part, table = TaskContext.get().partitionId(), hashes()
     open_, count = {}, {}
     for batch in batches:
         for d, f, t in zip(*(c.to_pylist() for c in batch.columns)):
@@ -79,7 +79,7 @@ def chunks(batches, limit: int):
             if k not in open_:
                 open_[k] = Chunk(f"{part}-{k}-{count.get(k, 0)}")
                 count[k] = count.get(k, 0) + 1
-            open_[k].add((d, f), hashes.of(split(t)), len(t or ""))
+            open_[k].add((d, f), table.of(split(t)), len(t or ""))
             if open_[k].size >= limit:
                 yield open_.pop(k).close()
     for k in sorted(open_):

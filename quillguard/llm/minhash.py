@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import store
 from .components import components
-from .words import Hashes, mix, shingles, split
+from .words import hashes, mix, shingles, split
 
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>, bits long"
 
@@ -42,7 +42,7 @@ def sketches(docs: DataFrame, k: int, rows: int, half: int, seed: int) -> DataFr
     of a minhash, of which two sets of similarity s share (1 + s) / 2 on average."""
 
     def run(batches):
-        words, (mul, xor) = Hashes(), _constants(max(64, 2 * half * rows), seed)
+        words, (mul, xor) = hashes(), _constants(max(64, 2 * half * rows), seed)
         tag = mix(np.arange(2 * half, dtype=np.uint64) + np.uint64(seed))
         for batch in batches:
             out = []
@@ -70,7 +70,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set) of the documents whose id is in ``ids``."""
 
     def run(batches):
-        words = Hashes()
+        words = hashes()
         for batch in batches:
             sets = [shingles(words.of(split(t)), k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])

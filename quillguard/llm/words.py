@@ -29,6 +29,14 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_shared = Hashes()
+
+
+def hashes() -> Hashes:
+    """The worker's own table; Spark reuses workers, so later tasks find it filled."""
+    return _shared
+
+
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
