@@ -50,37 +50,62 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float, folder:
     return table.select("source", "source_size", "weight", F.when(over, F.col("_cap")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
+def _fill(rows: DataFrame, need: DataFrame, buckets: int, nearest: bool, folder: str):
+    """Words up to each source's need, in the order of bucket and hash. ``need``: (_s, _need).
+
+    Sums by source and bucket show the bucket where the need runs out; its rows alone are ordered one
+    by one. Returns (_s, _cut, _short): all rows in buckets before _cut are taken and _short words of
+    the cut bucket; and that bucket's rows with their decision _more.
+    """
+    sums = store.saved(rows.groupBy("source", "_b").agg(F.sum("size").alias("words")), f"{folder}/sums")
+    run = F.sum("words").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # at most `buckets` rows a source
+    cuts = sums.withColumn("_before", F.coalesce(run, F.lit(0))).join(need, F.col("source").eqNullSafe(F.col("_s"))).where("_before < _need AND _need <= _before + words")
+    cuts = store.saved(cuts.select(F.col("source").alias("_c"), F.col("_b").alias("_cut"), (F.col("_need") - F.col("_before")).alias("_short")), f"{folder}/cuts")
+    none = F.when(F.col("_need") > 0, buckets).otherwise(-1)
+    cuts = need.join(cuts, F.col("_s").eqNullSafe(F.col("_c")), "left").select("_s", F.coalesce("_cut", none).alias("_cut"), "_short")
+    order = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = rows.join(cuts, F.col("source").eqNullSafe(F.col("_s"))).where("_b = _cut").withColumn("_sum", F.sum("size").over(order))
+    edge = edge.withColumn("_more", (F.col("_sum") - (F.col("size") / 2 if nearest else F.lit(0)) <= F.col("_short")).cast("int"))
+    return cuts, store.saved(edge.select("doc_id", "source", "size", "_h", "_short", "_more"), f"{folder}/edge")
+
+
 def _plan(docs: DataFrame, folder: str, weights: tuple[float, ...], cap: float, seed: int, buckets: int):
-    """Sizes of all rows, the plan by source, and the rows of the buckets where a remainder runs out."""
-    rows = store.saved(_keyed(docs.select("doc_id", "source", "text"), seed, buckets).select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), "_h", "_b"), f"{folder}/sizes")
-    by_bucket = store.saved(rows.groupBy("source", "_b").agg(F.sum("size").alias("words")), f"{folder}/buckets")
-    by_source = store.saved(targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap, folder), f"{folder}/targets")
+    """Sizes of all rows, the plan by source, and the rows of the buckets where a need runs out."""
+    rows = store.saved(_keyed(docs.select("doc_id", "source", "text"), seed, buckets).drop("text"), f"{folder}/sizes")
+    by_source = store.saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap, folder), f"{folder}/targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = by_source.withColumn("_whole", F.floor(rate).cast("int")).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")).withColumnRenamed("source", "_s")
-    # at most `buckets` rows for each source
-    run = F.sum("words").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = by_bucket.withColumn("_before", F.coalesce(run, F.lit(0))).join(plan, F.col("source").eqNullSafe(F.col("_s"))).where("_before < _rest AND _rest <= _before + words")
-    cuts = store.saved(cuts.select(F.col("source").alias("_c"), F.col("_b").alias("_cut"), (F.col("_rest") - F.col("_before")).alias("_need")), f"{folder}/cuts")
-    plan = store.saved(plan.join(cuts, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("_cut", F.coalesce("_cut", F.lit(-1))), f"{folder}/plan")
-    edge = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).where("_b = _cut")
-    order = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    more = (F.col("_need") - F.coalesce(F.sum("size").over(order), F.lit(0)) >= F.col("size") / 2).cast("int")
-    # rows alike in doc_id, source and hash can't be told apart later and share one decision
-    edge = edge.withColumn("_more", more).groupBy("doc_id", "source", "_h").agg(F.min("_more").alias("_more"))
-    return rows, plan, store.saved(edge.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("_h").alias("_hh"), "_more"), f"{folder}/edge")
+    plan = by_source.withColumn("_whole", F.floor(rate).cast("int")).withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size")).withColumnRenamed("source", "_s")
+    cut, edge = _fill(rows, plan.select("_s", "_need"), buckets, False, f"{folder}/first")
+    used = edge.groupBy("source").agg((F.first("_short") - F.coalesce(F.sum(F.when(F.col("_more") == 1, F.col("size"))), F.lit(0))).alias("_left")).withColumnRenamed("source", "_c")
+    left = cut.join(used, F.col("_s").eqNullSafe(F.col("_c")), "left").select("_s", "_cut", F.coalesce("_left", F.lit(0.0)).alias("_left"))
+    left = store.saved(left, f"{folder}/left")
+    # what a large document at the cut would have overshot is filled with smaller ones from behind it
+    later = rows.join(left, F.col("source").eqNullSafe(F.col("_s"))).where(_small()).select(*rows.columns)
+    cut2, edge2 = _fill(later, left.select("_s", F.col("_left").alias("_need")), buckets, True, f"{folder}/second")
+    cut2 = cut2.select(F.col("_s").alias("_c"), F.col("_cut").alias("_cut2"))
+    plan = plan.join(left.withColumnRenamed("_s", "_l"), F.col("_s").eqNullSafe(F.col("_l"))).join(cut2, F.col("_s").eqNullSafe(F.col("_c")))
+    plan = store.saved(plan.drop("_l", "_c", "_need"), f"{folder}/plan")
+    # rows alike in doc_id, source, size and hash can't be told apart later and share one decision
+    both = edge.unionByName(edge2).groupBy("doc_id", "source", "size", "_h").agg(F.min("_more").alias("_more"))
+    return rows, plan, store.saved(both.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_n"), F.col("_h").alias("_hh"), "_more"), f"{folder}/edges")
+
+
+def _small() -> Column:
+    return (F.col("_b") > F.col("_cut")) & (F.col("size") > 0) & (F.col("size") * 2 <= F.col("_left"))
 
 
 def _keyed(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
     h = F.xxhash64(F.col("doc_id").cast("long"), F.length("text"), F.lit(seed))
-    return docs.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
+    return docs.withColumn("size", word_count(F.col("text").cast("string"))).withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
 
 
 def _decided(keyed: DataFrame, plan: DataFrame, edge: DataFrame) -> DataFrame:
     """Adds repeats. Rows outside the cut buckets need the plan alone."""
     known = keyed.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    inner = known.where("_b <> _cut").withColumn("_more", (F.col("_b") < F.col("_cut")).cast("int"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src")) & F.col("_h").eqNullSafe(F.col("_hh"))
-    near = known.where("_b = _cut").join(edge, on).drop("_d", "_src", "_hh")
+    at_cut = (F.col("_b") == F.col("_cut")) | ((F.col("_b") == F.col("_cut2")) & _small())
+    inner = known.where(~at_cut).withColumn("_more", ((F.col("_b") < F.col("_cut")) | ((F.col("_b") < F.col("_cut2")) & _small())).cast("int"))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_n")) & F.col("_h").eqNullSafe(F.col("_hh"))
+    near = known.where(at_cut).join(edge, on).drop("_d", "_src", "_n", "_hh")
     return inner.unionByName(near).withColumn("repeats", F.col("_whole") + F.col("_more"))
 
 
@@ -89,13 +114,14 @@ def repetitions(docs: DataFrame, folder: str, weights: tuple[float, ...] = (5.0,
 
     A source with rate r = target / source_size takes each document floor(r) times, and a seeded
     sample once more: documents in the order of a hash of doc_id, text length and seed, up to the
-    remaining words. The hash's range is cut into ``buckets``; sums by source and bucket give the
-    bucket where the remainder runs out, and that bucket alone is ordered row by row. So a source of
-    any size is sampled to within half a document, and no task holds a source. Reruns agree.
+    remaining words; what then is left over is filled with documents of at most half of it. The
+    hash's range is cut into ``buckets``; sums by source and bucket give the bucket where the
+    remainder runs out, and that bucket alone is ordered row by row. So no task holds a source.
+    Reruns agree.
 
     Null text: size 0. Null source: a source of its own, last. A document of size 0, and every
     document of a source without words, is taken 0 words. Repeated rows count each; rows alike in
-    doc_id, source and text length share one decision. An empty table gives no rows. Columns besides
+    doc_id, source, size and text length share one decision. An empty table gives no rows. Columns besides
     these three are not read.
     """
     rows, plan, edge = _plan(docs, folder, weights, cap, seed, buckets)
@@ -106,5 +132,7 @@ def repetitions(docs: DataFrame, folder: str, weights: tuple[float, ...] = (5.0,
 def mixed(docs: DataFrame, folder: str, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (not at all for 0)."""
     _, plan, edge = _plan(docs, folder, weights, cap, seed, buckets)
-    out = _decided(_keyed(docs, seed, buckets), plan, edge).where("repeats > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    # the table's columns travel in a struct, so that none clashes with those of the plan
+    keyed = _keyed(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", F.struct("*").alias("_row")), seed, buckets).drop("text")
+    out = _decided(keyed, plan, edge).where("repeats > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("_row.*")
