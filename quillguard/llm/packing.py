@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import Encoder
+from .tokens import encoder
 from .words import mix
 
 
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, lots: in
     its task and place in it, so that repeated rows spread as well."""
 
     def run(batches):
-        enc, part, k = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, k = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship
-from . import fingerprints, langid, lm, minhash, mixing, packing, store, tokens, urls
+from . import fingerprints, langid, lm, minhash, mixing, packing, store, tokens, urls, warc
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -21,6 +21,16 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc_history(spark, sf_dir):
+    """Pages have no capture time of their own: a second a page from a fixed day on."""
+    folder = store.scratch(spark, "op1")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyyMMddHHmmss").cast("long")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", stamp.alias("stamp"))
+    runs = warc.write(warc.deduplicated(pages, folder), folder)
+    records = warc.read(warc.merged(spark, runs, folder))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "shard", "place")
+
+
 def op2_packed_tokens(spark, sf_dir):
     manifest = tokens.write(table(spark, sf_dir, "documents"), store.scratch(spark, "op2"), tokenizer(), end_id=1)
     return tokens.read(spark, manifest)
@@ -63,5 +73,5 @@ def op10_tensored_minhash(spark, sf_dir):
     return minhash.clusters(table(spark, sf_dir, "documents"), store.scratch(spark, "op10"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_tokens, op3_deleted_interpolation, op4_kneser_ney, op5_chunk_fingerprints, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
+QUERIES = {f.__name__: f for f in (op1_warc_history, op2_packed_tokens, op3_deleted_interpolation, op4_kneser_ney, op5_chunk_fingerprints, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
 ORACLE: dict[str, str] = {}

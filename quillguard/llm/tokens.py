@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ class Encoder:
     a table of at most ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,17 +48,41 @@ class Encoder:
             if len(known) + len(new) > self.limit:
                 known.clear()
                 new = set(words)
-            new = list(new)
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
+    def _learn(self, new: set[bytes]) -> None:
+        """A mark after an ASCII letter or digit is a piece of its own, so such words share their stem."""
+        known, ended, stems = self.known, [], set()
+        for w in new:
+            if w[-1] in b".,!" and w[-2:-1].isalnum():
+                ended.append(w)
+                stems.add(w[:-1])
+                stems.add(w[-1:])
+            else:
+                stems.add(w)
+        stems = [w for w in stems if w not in known]
+        for i in range(0, len(stems), 4096):
+            some = stems[i : i + 4096]
+            for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[w] = array("I", e.ids).tobytes()
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder; Spark reuses workers, so later tasks find its table filled."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
 
 def vocabulary_bits(path: str) -> int:
     """Minimum number of bits that hold every id of the vocabulary."""
-    return max(1, (Encoder(path).vocab - 1).bit_length())
+    return max(1, (encoder(path).vocab - 1).bit_length())
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -157,7 +182,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, width:
             first = next(batches, None)
         if first is None:
             return
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         with store.Target(path) as file:
             out = Writer(file, width, block)
             while first is not None:
