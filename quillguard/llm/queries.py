@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship
-from . import fingerprints, langid, lm, minhash, mixing, packing, store, tokens, urls, warc
+from . import covertree, fingerprints, langid, lm, minhash, mixing, packing, store, tokens, urls, warc
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -51,6 +51,10 @@ def op5_chunk_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"), store.scratch(spark, "op5"))
 
 
+def op6_cover_tree(spark, sf_dir):
+    return covertree.near(table(spark, sf_dir, "embeddings"), store.scratch(spark, "op6"), cosine=0.95)
+
+
 def op7_best_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=2048, end_id=0)
 
@@ -73,5 +77,5 @@ def op10_tensored_minhash(spark, sf_dir):
     return minhash.clusters(table(spark, sf_dir, "documents"), store.scratch(spark, "op10"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_history, op2_packed_tokens, op3_deleted_interpolation, op4_kneser_ney, op5_chunk_fingerprints, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
+QUERIES = {f.__name__: f for f in (op1_warc_history, op2_packed_tokens, op3_deleted_interpolation, op4_kneser_ney, op5_chunk_fingerprints, op6_cover_tree, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
 ORACLE: dict[str, str] = {}
