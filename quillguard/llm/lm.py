@@ -208,7 +208,7 @@ def folds(doc_id: Column, modulus: int = 7, test: int = 2, deleted: int = 3) ->
     return F.when(r == test, TEST).when(r == deleted, DELETED).otherwise(LEARN).cast("int")
 
 
-def score(docs: DataFrame, folder: str, chunk_chars: int = 12_000_000, is_table: bool = False) -> DataFrame:
+def score(docs: DataFrame, folder: str, chunk_chars: int = 6_000_000, is_table: bool = False) -> DataFrame:
     """Score whole texts of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -242,8 +242,10 @@ def score(docs: DataFrame, folder: str, chunk_chars: int = 12_000_000, is_table:
         for c in chunks(batches, chunk_chars):
             wc, _, pc, _ = _answer(answers, c)
             ctx, p2, p1 = _parts(c, wc, pc, learn + deleted, n)
-            l = weights[_level(ctx)]  # noqa: E741
-            p = l[:, 0] * p2 + l[:, 1] * p1 + l[:, 2] / (v + 1)
+            level = _level(ctx)
+            p2 *= weights[level, 0]
+            p1 *= weights[level, 1]
+            p = p2 + p1 + weights[level, 2] / (v + 1)
             if not n:
                 p = np.ones(len(p))
             known = (wc > 0)[c.word_of]

@@ -14,7 +14,7 @@ import xxhash
 class Hashes(dict):
     """word -> 64-bit hash; starts afresh when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 1 << 20, seed: int = 0):
+    def __init__(self, limit: int = 1 << 18, seed: int = 0):
         self.limit, self.seed = limit, seed
 
     def __missing__(self, word: bytes) -> int:
