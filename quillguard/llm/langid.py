@@ -123,7 +123,7 @@ class Scorer:
 
     def _fresh(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((0, len(self.langs) + 1))
+        self.rows = np.zeros((1024, len(self.langs) + 1))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows")}
@@ -147,24 +147,32 @@ class Scorer:
             for i, lang in enumerate(self.langs):
                 rows[:, i] = np.bincount(to, weights=self.models[lang].logp(grams, ctx), minlength=len(new))
             rows[:, -1] = np.bincount(to, minlength=len(new))
-        start = len(self.rows)
-        self.rows = np.concatenate([self.rows, rows])
+        start = len(self.known)
+        if start + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:start], np.zeros((start + 2 * len(new), self.rows.shape[1]))])
+        self.rows[start : start + len(new)] = rows
         self.known.update(zip(new, range(start, start + len(new))))
 
-    def totals(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: summed log p by language, and the number of characters scored."""
+    def totals(self, texts: list[str | None], chars: int = 2_000_000) -> np.ndarray:
+        """For each text: summed log p by language, and the number of characters scored. Texts are taken
+        together up to ``chars``, so that new words are learned many at a time."""
         out = np.zeros((len(texts), len(self.langs) + 1))
-        for k, t in enumerate(texts):
-            pieces = (t or "").lower().encode("utf-8", "replace").split()
-            if not pieces:
-                continue
-            if new := set(pieces).difference(self.known):
+        k = 0
+        while k < len(texts):
+            pieces, size = [], 0
+            while k + len(pieces) < len(texts) and (size < chars or not pieces):
+                t = texts[k + len(pieces)] or ""
+                pieces.append(t.lower().encode("utf-8", "replace").split())
+                size += len(t)
+            if new := set().union(*pieces).difference(self.known):
                 if len(self.known) + len(new) > self.limit:
                     self._fresh()
-                    new = set(pieces)
+                    new = set().union(*pieces)
                 self.learn(list(new))
-            i = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            out[k] = self.rows[i].sum(0)
+            for i, p in enumerate(pieces):
+                if p:
+                    out[k + i] = self.rows[np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))].sum(0)
+            k += len(pieces)
         return out
 
     def decide(self, totals: np.ndarray) -> list[tuple]:
