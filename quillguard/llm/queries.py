@@ -28,7 +28,7 @@ def op1_warc_history(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", stamp.alias("stamp"))
     runs = warc.write(warc.deduplicated(pages, folder), folder)
     records = warc.read(warc.merged(spark, runs, folder))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "shard", "place")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_packed_tokens(spark, sf_dir):
@@ -78,4 +78,18 @@ def op10_tensored_minhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_history, op2_packed_tokens, op3_deleted_interpolation, op4_kneser_ney, op5_chunk_fingerprints, op6_cover_tree, op7_best_fit, op8_water_filling, op9_url_rules, op10_tensored_minhash)}
-ORACLE: dict[str, str] = {}
+_REACH = """reach AS (SELECT id AS u, id AS c FROM ids UNION SELECT l.v, r.c FROM reach r JOIN (SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links) l ON l.u = r.u)"""
+
+#: SQL of the operators that SQL can express on the small tables; tests hold the others against brute force.
+ORACLE: dict[str, str] = {
+    "op1_warc_history": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages), f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON f.d = p.d""",
+    "op6_cover_tree": f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ids AS (SELECT vec_id AS id FROM v),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95), {_REACH}
+SELECT id AS vec_id, CAST((SELECT count(*) FROM links WHERE x = id OR y = id) AS BIGINT) AS n_links, min(c) AS component_id, min(c) = id AS kept FROM ids JOIN reach ON u = id GROUP BY id""",
+    "op10_tensored_minhash": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w), ids AS (SELECT doc_id AS id FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s), pairs AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * k >= 80 * (len(a.s) + len(b.s) - k)), {_REACH}
+SELECT id AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(c) AS component_id, min(c) = id AS kept FROM ids JOIN reach ON u = id JOIN s ON s.doc_id = id GROUP BY id""",
+}
