@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from . import store
 from .tokens import encoder
 from .words import mix
 
@@ -91,4 +92,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         return pdf.assign(sequence_id=(pdf["lot"].to_numpy() << 32) + got[:, 0], offset=got[:, 1]).drop(columns="lot")
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces(docs, tokenizer, capacity, end_id, lots).groupBy("lot").applyInPandas(run, out)
+    return pieces(docs, tokenizer, capacity, end_id, lots).repartition(store.parts(docs.sparkSession), "lot").groupBy("lot").applyInPandas(run, out)
