@@ -19,7 +19,8 @@ UND = "und"
 
 
 def letter_words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters, lower-cased; a run of other numerals alone is none."""
+    return [w for w in LETTERS.findall(text.lower()) if any(map(str.isalpha, w))]
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
