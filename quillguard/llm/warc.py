@@ -328,7 +328,7 @@ def _batch(rows):
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, stamp string, shard int, place long"
 
 
-def read(history: DataFrame, slice_bytes: int = 32 << 20) -> DataFrame:
+def read(history: DataFrame, slice_bytes: int = 8 << 20) -> DataFrame:
     """The records that the history points to, read from the archives by offset and length. A response's
     digest and size are computed from its payload and must equal its headers; a revisit's come from its own."""
 
@@ -351,4 +351,6 @@ def read(history: DataFrame, slice_bytes: int = 32 << 20) -> DataFrame:
         return pd.DataFrame({c.split()[0]: pd.Series(v, dtype={"long": "Int64", "int": "Int32"}.get(c.split()[1], "object")) for c, v in zip(RECORDS.split(", "), cols)})
 
     where = history.select("archive", "offset", "length", "shard", "place", F.floor(F.col("offset") / slice_bytes).alias("_s"))
+    # the rows are small and the records behind them are not, so the partitions are not left to be merged
+    where = where.repartition(4 * store.parts(history.sparkSession), "archive", "_s")
     return where.groupBy("archive", "_s").applyInPandas(run, RECORDS)
