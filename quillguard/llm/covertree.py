@@ -24,12 +24,19 @@ LEAF = 24
 
 
 class Node:
-    """Points ``idx`` within ``radius`` of the point ``center``; ``kids`` is None for a leaf."""
+    """Points ``idx`` within ``radius`` of the point ``center``. Below it: ``points``, those of its
+    leaves, and ``kids``, its inner nodes; a leaf has points alone."""
 
-    __slots__ = ("center", "radius", "idx", "kids", "centers", "radii")
+    __slots__ = ("center", "radius", "idx", "points", "kids", "at", "radii")
 
     def __init__(self, center: int, radius: float, idx: np.ndarray):
-        self.center, self.radius, self.idx, self.kids = center, radius, idx, None
+        self.center, self.radius, self.idx = center, radius, idx
+        self.below(idx, [])
+
+    def below(self, points: np.ndarray, kids: list) -> None:
+        self.points, self.kids = points, kids
+        self.at = np.concatenate((points, np.array([k.center for k in kids], np.int64)))
+        self.radii = np.array([k.radius for k in kids])
 
 
 def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -38,55 +45,57 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def build(x: np.ndarray, idx: np.ndarray | None = None, level: float = 2.0) -> Node:
     """Cover tree of unit vectors. Each node's children are a net of half its level's radius: centres
-    are further apart than that, every point is within it of one, and the node's own centre is the first."""
+    are further apart than that, and every point is within it of one. Children of at most LEAF points
+    are leaves."""
     idx = np.arange(len(x)) if idx is None else idx
     node = Node(int(idx[0]), float(_far(x[idx], x[idx[:1]]).max()), idx)
     if len(idx) <= LEAF or node.radius < 1e-9:
         return node
     while level / 2 >= node.radius:
         level /= 2
-    kids, rest = [], idx
+    points, kids, rest = [], [], idx
     while len(rest):
         near = _far(x[rest], x[rest[:1]])[:, 0] <= level / 2
         near[0] = True
-        kids.append(build(x, rest[near], level / 2))
+        if near.sum() <= LEAF:
+            points.append(rest[near])
+        else:
+            kids.append(build(x, rest[near], level / 2))
         rest = rest[~near]
-    node.kids = kids
-    node.centers = np.array([k.center for k in kids])
-    node.radii = np.array([k.radius for k in kids])
+    node.below(np.concatenate(points) if points else idx[:0], kids)
     return node
 
 
-def _sides(n: Node):
-    if n.kids is None:
-        return [n], np.array([n.center]), np.array([n.radius])
-    return n.kids, n.centers, n.radii
-
-
 def dual(a: Node, x: np.ndarray, b: Node, y: np.ndarray, limit: float, found: list, same: bool = False) -> None:
     """Append arrays (i, j) of candidate pairs of points, i of ``x`` and j of ``y``; i < j in one tree."""
     stack = [(a, b, same)]
+    nearest = 1 - limit * limit / 2
     while stack:
         a, b, own = stack.pop()
-        if a.kids is None and b.kids is None:
-            i, j = np.nonzero(_far(x[a.idx], y[b.idx]) <= limit)
-            i, j = a.idx[i], b.idx[j]
-            if own:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                found.append((i, j))
-            continue
-        ka, ca, ra = _sides(a)
-        kb, cb, rb = _sides(b)
-        # one comparison with the widest radii first; few pairs need their own
-        widest = limit + ra.max() + rb.max()
-        cos = x[ca] @ y[cb].T
-        i, j = np.nonzero(cos >= 1 - widest * widest / 2) if widest < 2 else np.indices(cos.shape).reshape(2, -1)
-        close = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[i, j])) <= limit + ra[i] + rb[j]
+        cos = x[a.at] @ y[b.at].T
+        p, q = len(a.points), len(b.points)
+        i, j = np.nonzero(cos[:p, :q] >= nearest)
         if own:
-            close &= i <= j
-        for i, j in zip(i[close].tolist(), j[close].tolist()):
-            stack.append((ka[i], kb[j], own and i == j))
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            found.append((a.points[i], b.points[j]))
+        # inner nodes have radii, and are few
+        for k, kid in enumerate(a.kids):
+            close = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[p + k])) <= limit + kid.radius + np.concatenate((np.zeros(q), b.radii))
+            for m in np.flatnonzero(close).tolist():
+                if m >= q and not (own and m - q < k):
+                    stack.append((kid, b.kids[m - q], own and m - q == k))
+            near = b.points[close[:q]]
+            if len(near) and not own:
+                stack.append((kid, _loose(near), False))
+        for m, kid in enumerate(b.kids):
+            near = a.points[np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[:p, q + m])) <= limit + kid.radius]
+            if len(near):
+                stack.append((_loose(near), kid, False))
+
+
+def _loose(points: np.ndarray) -> Node:
+    return Node(int(points[0]), 2.0, points)
 
 
 def _pairs_within(a: Node, x, b: Node, y, limit, same):

@@ -278,11 +278,16 @@ def test_cover_tree_invariants():
     x = covertree.unit(np.random.default_rng(7).normal(size=(300, 3)))
     def walk(n):
         assert (covertree._far(x[n.idx], x[[n.center]]) <= n.radius + 1e-12).all()
-        if n.kids:
-            assert sorted(np.concatenate([k.idx for k in n.kids])) == sorted(n.idx) and n.kids[0].center == n.center
-            for k in n.kids:
-                walk(k)
-    walk(covertree.build(x))
+        assert sorted(np.concatenate([n.points, *(k.idx for k in n.kids)])) == sorted(n.idx)
+        for k in n.kids:
+            assert len(k.idx) > covertree.LEAF
+            walk(k)
+    root = covertree.build(x)
+    walk(root)
+    for limit in (0.01, 0.3, 1.0):
+        i, j = covertree._pairs_within(root, x, root, x, limit, True)
+        want = {(a, b) for a, b in zip(*np.nonzero(covertree._far(x, x) <= limit)) if a < b}
+        assert {(int(a), int(b)) for a, b in zip(i, j)} == {(int(a), int(b)) for a, b in want} and len(i) == len(want)
 
 
 # --- 8 ---------------------------------------------------------------------------------------------
