@@ -18,7 +18,7 @@ from . import store
 from .components import components
 from .words import hashes, mix, shingles, split
 
-SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>, bits long"
+SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>, nibbles array<long>"
 
 
 def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +38,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, k: int, rows: int, half: int, seed: int) -> DataFrame:
-    """One row for each document: its set's size and 128-bit hash, its half-keys, and 64 bits, each
-    of a minhash, of which two sets of similarity s share (1 + s) / 2 on average."""
+    """One row for each document: its set's size and 128-bit hash, its half-keys, and four
+    bits of each of 64 minhashes, of which two sets of similarity s share s + (1 - s) / 16 on average."""
 
     def run(batches):
         words, (mul, xor) = hashes(), _constants(max(64, 2 * half * rows), seed)
@@ -57,11 +57,11 @@ def sketches(docs: DataFrame, k: int, rows: int, half: int, seed: int) -> DataFr
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[r : 2 * half * rows : rows])
                 key = key.view(np.int64)
                 whole = xxhash.xxh3_128_digest(s.tobytes())
-                bits = np.packbits((mix(sig[:64]) & np.uint64(1)).astype(np.uint8)).view(np.int64)[0]
-                out.append((d, len(s), *np.frombuffer(whole, np.int64).tolist(), key[:half].tolist(), key[half:].tolist(), int(bits)))
+                nibbles = ((mix(sig[:64]) & np.uint64(15)).reshape(4, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64)
+                out.append((d, len(s), *np.frombuffer(whole, np.int64).tolist(), key[:half].tolist(), key[half:].tolist(), nibbles.view(np.int64).tolist()))
             c = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["doc_id", "n_shingles", "s1", "s2", "a", "b", "bits"])
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["doc_id", "n_shingles", "s1", "s2", "a", "b", "nibbles"])
 
     return _rows(docs).mapInArrow(run, SKETCH)
 
@@ -100,7 +100,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, folder: st
     return with_v.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def clusters(docs: DataFrame, folder: str, k: int = 5, percent: int = 80, rows: int = 3, half: int = 12, alike_bits: int = 44, seed: int = 7) -> DataFrame:
+def clusters(docs: DataFrame, folder: str, k: int = 5, percent: int = 80, rows: int = 3, half: int = 12, alike: int = 35, seed: int = 7) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text, A-Z lower-cased; a set has its distinct
@@ -113,14 +113,14 @@ def clusters(docs: DataFrame, folder: str, k: int = 5, percent: int = 80, rows:
     no other representative has are dropped before keys are paired, which loses no table key with
     two members. In each table key members are first compared with the key's smallest id (each member
     with its likeliest leader and its smallest). Then every pair that shares a key but still lies in
-    different components is compared, unless its 64 bits rule the similarity out (44 of 64 equal
-    bits: missed with probability 1e-7 at 0.8). Pairs within a component are not needed and not made.
+    different components is compared, unless its 64 short hashes rule the similarity out (35 of 64
+    equal: missed with probability 1e-7 at 0.8). Pairs within a component are not needed and not made.
     """
     sk = store.saved(sketches(docs, k, rows, half, seed), f"{folder}/sketches")
     real = sk.where("doc_id IS NOT NULL AND n_shingles > 0")
-    groups = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("bits").alias("bits"))
+    groups = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("nibbles").alias("nibbles"))
     reps = store.saved(groups, f"{folder}/reps")
-    links = _links(docs, reps, k, percent, alike_bits, folder)
+    links = _links(docs, reps, k, percent, alike, folder)
     comp = components(links, f"{folder}/cc") if links is not None else None
     named = reps.select("s1", "s2", "id")
     if comp is None:
@@ -133,36 +133,128 @@ def clusters(docs: DataFrame, folder: str, k: int = 5, percent: int = 80, rows:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(docs, reps, k, percent, alike_bits, folder):
-    bits = reps.select("id", "bits")
+def _same(x: str, y: str):
+    """How many of the 64 short hashes agree: four bits of an xor that are all zero."""
+    total = F.lit(64)
+    for i in range(4):
+        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        some = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
+        total = total - F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _links(docs, reps, k, percent, alike, folder):
+    nibbles = reps.select("id", "nibbles")
     halves = reps.select("id", F.explode("a").alias("h"), F.lit(0).alias("side")).unionByName(reps.select("id", F.explode("b").alias("h"), F.lit(1).alias("side")))
     shared = halves.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # at most `half` keys a side, so a document's lists are short
     own = halves.join(shared, "h").groupBy("id").agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("b"))
     keyed = own.select("id", F.explode("a").alias("ha"), "b").select("id", "ha", F.explode("b").alias("hb")).select("id", F.xxhash64("ha", "hb").alias("key"))
-    keyed = store.saved(keyed.join(bits, "id"), f"{folder}/keyed")
-    lead = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("m")).where("n > 1").select("key", "n", F.col("m.id").alias("leader"), F.col("m.bits").alias("leader_bits"))
+    keyed = store.saved(keyed.join(nibbles, "id"), f"{folder}/keyed")
+    lead = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "nibbles")).alias("m")).where("n > 1").select("key", "n", F.col("m.id").alias("leader"), F.col("m.nibbles").alias("leader_nibbles"))
     lead = store.saved(lead, f"{folder}/leaders")
     if not lead.take(1):
         return None
     members = store.saved(keyed.join(lead, "key"), f"{folder}/members")
-    alike = lambda x, y: 64 - F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    star = members.where("id <> leader").withColumn("same", alike("bits", "leader_bits")).where(F.col("same") >= alike_bits)
+    star = members.where("id <> leader").withColumn("same", _same("nibbles", "leader_nibbles")).where(F.col("same") >= alike)
     best = star.groupBy("id").agg(F.max(F.struct("same", "leader")).alias("x"), F.min("leader").alias("y")).select(F.col("id").alias("u"), F.explode(F.array_distinct(F.array("x.leader", "y"))).alias("v"))
     tried = store.saved(best, f"{folder}/star")
     links = store.saved(verified(docs, tried, k, percent, f"{folder}/v1"), f"{folder}/links1")
     comp = components(links, f"{folder}/cc1").withColumnRenamed("u", "id")
-    # what still shares a key across components: members outside their leader's component, with all others
-    of_leader = comp.select(F.col("id").alias("leader"), F.col("component").alias("main"))
-    placed = members.drop("leader_bits").join(comp, "id", "left").join(of_leader, "leader", "left")
-    placed = store.saved(placed.select("key", "id", "bits", F.coalesce("component", "id").alias("component"), F.coalesce("main", "leader").alias("main")), f"{folder}/placed")
-    out = placed.where("component <> main").select("key", F.col("id").alias("u"), F.col("bits").alias("ub"), F.col("component").alias("uc"))
-    rest = out.join(placed, "key").where((F.col("uc") != F.col("component")) & (alike("ub", "bits") >= alike_bits))
-    rest = rest.select(F.greatest("u", "id").alias("u"), F.least("u", "id").alias("v")).distinct()
-    rest = store.saved(rest.join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), f"{folder}/rest")
-    if rest.take(1):
-        links = links.unionByName(store.saved(verified(docs, rest, k, percent, f"{folder}/v2"), f"{folder}/links2"))
-    return links
+    more = _across(docs, reps, members.select("id").distinct(), comp, k, percent, alike, folder)
+    return links.unionByName(store.saved(more, f"{folder}/links2"))
+
+
+#: Documents in a block when their short hashes are compared, and when their full sets are.
+BLOCK, SET_BLOCK = 256, 64
+
+
+def _across(docs, reps, some, comp, k, percent, alike, folder):
+    """Links between components, whole: pairs that share a first half-key, which all table keys' pairs do.
+
+    A half-key's members outside the component of its smallest id are compared with all its members,
+    block against block, so that neither a join nor a task makes the pairs as rows. Short hashes name
+    the documents with a likely partner; the full sets of these alone are then compared in blocks.
+    A pair is taken up in the first half-key that it shares. Blocks are dealt by a hash of the id, so
+    that a half-key with any number of members is spread.
+    """
+    base = reps.join(some, "id", "left_semi").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "a", "nibbles")
+    rows = base.select("*", F.posexplode("a").alias("pos", "h"))
+    stats = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component")).alias("m")).where("low <> high")
+    rows = store.saved(rows.join(stats.select("h", "n", F.col("m.component").alias("main")), "h"), f"{folder}/across")
+    half = len(rows.select("a").first()["a"]) if rows.take(1) else 0
+    if not half:
+        return docs.sparkSession.createDataFrame([], "u long, v long")
+    names = ["id", "component", *(f"a{i}" for i in range(half)), *(f"n{i}" for i in range(4))]
+    flat = lambda df, *more: df.select("h", "pos", "n", "main", "id", "component", *(F.col("a")[i].alias(f"a{i}") for i in range(half)), *(F.col("nibbles")[i].alias(f"n{i}") for i in range(4)), *more)
+
+    def met(df, size, *more):
+        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)).alias("salt")
+        df = df.withColumn("salt", salt)
+        block = F.collect_list(F.struct(*names, *more))
+        out = df.where("component <> main").groupBy("h", "pos", "salt").agg(block.alias("x")).drop("salt")
+        return out.join(df.groupBy("h", "salt").agg(block.alias("y")).drop("salt"), "h").select("h", "pos", "x", "y")
+
+    def columns(value):
+        s = value.values
+        return {n: s.field(i) for i, n in enumerate(x.name for x in s.type)}
+
+    def mask(x, y, pos):
+        col = lambda c, n: c[n].to_numpy()
+        ok = col(x, "component")[:, None] != col(y, "component")[None]
+        same = np.full(ok.shape, 64, np.int64)
+        for i in range(4):
+            z = (col(x, f"n{i}")[:, None] ^ col(y, f"n{i}")[None]).view(np.uint64)
+            z = (z | (z >> np.uint64(1)) | (z >> np.uint64(2)) | (z >> np.uint64(3))) & np.uint64(0x1111111111111111)
+            same -= np.bitwise_count(z)
+        ok &= same >= alike
+        for i in range(pos):
+            if not ok.any():
+                break
+            ok &= col(x, f"a{i}")[:, None] != col(y, f"a{i}")[None]
+        return ok
+
+    def likely(batches):
+        for b in batches:
+            hs, ids = [], []
+            for h, pos, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                x, y = columns(x), columns(y)
+                ok = mask(x, y, pos)
+                if ok.any():
+                    found = np.unique(np.concatenate((x["id"].to_numpy()[ok.any(1)], y["id"].to_numpy()[ok.any(0)])))
+                    hs += [h] * len(found)
+                    ids += found.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.int64())], ["h", "id"])
+
+    def exact(batches):
+        for b in batches:
+            us, vs = [], []
+            for pos, x, y in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+                x, y = columns(x), columns(y)
+                ok = mask(x, y, pos)
+                if not ok.any():
+                    continue
+                sx = [np.frombuffer(v.as_buffer(), np.uint64) for v in x["set"]]
+                sy = [np.frombuffer(v.as_buffer(), np.uint64) for v in y["set"]]
+                nx, ny = np.array([len(v) for v in sx]), np.array([len(v) for v in sy])
+                ok &= (100 * np.minimum(nx[:, None], ny[None]) >= percent * np.maximum(nx[:, None], ny[None]))
+                for i in np.flatnonzero(ok.any(1)).tolist():
+                    js = np.flatnonzero(ok[i])
+                    # one sorted search for all partners of a document
+                    both = np.concatenate([sy[j] for j in js])
+                    at = np.minimum(np.searchsorted(sx[i], both), len(sx[i]) - 1)
+                    ends = np.cumsum(ny[js])
+                    common = np.add.reduceat((sx[i][at] == both).astype(np.int64), ends - ny[js])
+                    hit = js[100 * common >= percent * (nx[i] + ny[js] - common)]
+                    us += [x["id"][i].as_py()] * len(hit)
+                    vs += y["id"].to_numpy()[hit].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    named = store.saved(met(flat(rows), BLOCK).mapInArrow(likely, "h long, id long").distinct(), f"{folder}/likely")
+    ids = store.saved(named.select("id").distinct(), f"{folder}/likely-ids")
+    sets = store.saved(_sets(docs, ids, k), f"{folder}/likely-sets")
+    left = flat(rows).drop("n").join(named, ["h", "id"]).join(named.groupBy("h").agg(F.count("*").alias("n")), "h")
+    return met(left.join(sets, "id"), SET_BLOCK, "set").mapInArrow(exact, "u long, v long").distinct()
 
 
 def kept(docs: DataFrame, folder: str, **options) -> DataFrame:
