@@ -1,4 +1,4 @@
-"""Words ``[^\\x20\\x09-\\x0D]+`` of whole texts, as 64-bit hashes.
+"""Words ``[^\\x20\\x09-\\x0D]+`` of whole texts, as 64-bit hashes, and what a Python worker keeps.
 
 ``bytes.split`` without an argument splits at exactly these six bytes and ``bytes.lower`` changes
 A-Z alone. Words repeat, so each distinct word is hashed once per worker and kept in a table of
@@ -10,31 +10,50 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` returns, kept by the worker under ``key``. Spark reuses workers, so later tasks of
+    the same operator find it; a worker keeps one such thing, and that of another operator goes."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def bounded(batches, rows: int = 512):
+    """The same rows in small batches, so that what Python makes of one batch stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
 
 class Hashes(dict):
-    """word -> 64-bit hash; starts afresh when it holds ``limit`` words."""
+    """word -> 64-bit hash in two generations of at most ``limit`` words: when the young one is full it
+    becomes the old one, so words that go on occurring stay."""
 
-    def __init__(self, limit: int = 1 << 18, seed: int = 0):
-        self.limit, self.seed = limit, seed
+    def __init__(self, limit: int = 1 << 17, seed: int = 0):
+        self.limit, self.seed, self.old = limit, seed, {}
 
     def __missing__(self, word: bytes) -> int:
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word, seed=self.seed)
+            if len(word) > 64:
+                return h
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word, seed=self.seed)
-        if len(word) <= 64:
-            self[word] = h
+        self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_shared = Hashes()
-
-
 def hashes() -> Hashes:
-    """The worker's own table; Spark reuses workers, so later tasks find it filled."""
-    return _shared
+    return held("hashes", Hashes)
 
 
 def split(text: str | None) -> list[bytes]:
