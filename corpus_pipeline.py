@@ -16,8 +16,7 @@ PACKED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "off
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the identifier rejects: no letter, or like no learned language."""
-    kept = langid.predict(docs.select("*"), langid.train(docs))
-    return kept.where("NOT rejected").select(*docs.columns)
+    return langid.known(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
