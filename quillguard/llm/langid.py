@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import store
 from .words import bounded, held, mix
 
 ORDER, LEAST, MOST = 5, 0.1, 0.95
@@ -286,7 +287,7 @@ def train(docs: DataFrame, test: int = 2, per_language: int = 1500, calibrate: i
     count = {r["lang"]: r["count"] for r in lab.groupBy("lang").count().collect()}  # a row a language
     if not count:
         return Scorer({})
-    spark, both = docs.sparkSession, per_language + calibrate
+    spark, both = store.prepare(docs.sparkSession), per_language + calibrate
     share = F.try_element_at(F.create_map(*(F.lit(x) for lang, n in sorted(count.items()) for x in (lang, min(1.0, both / n)))), F.col("lang"))
     h = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     some = lab.where(h < share).select("lang", "text", (h < share * (per_language / both)).alias("model"))
@@ -358,7 +359,7 @@ def predict(docs: DataFrame, scorer: Scorer) -> DataFrame:
     names = ["lang_pred", "score", "cross_entropy", "rejected"]
     kept = [c for c in docs.columns if c not in names]
     at = kept.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by per_language and the number of languages
+    shared = store.prepare(docs.sparkSession).sparkContext.broadcast(scorer)  # bounded by per_language and the number of languages
 
     def run(batches):
         s = shared.value
@@ -375,7 +376,7 @@ def predict(docs: DataFrame, scorer: Scorer) -> DataFrame:
 def known(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """The rows of ``docs``, all columns, that the scorer does not reject (see ``predict``)."""
     at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = store.prepare(docs.sparkSession).sparkContext.broadcast(scorer)
 
     def run(batches):
         s = shared.value

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..shipping import ship
 from . import covertree, fingerprints, langid, lm, minhash, mixing, packing, store, tokens, urls, warc
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer() -> str:

@@ -20,13 +20,26 @@ from ..shipping import ship
 _made: list[str] = []
 
 
+#: Bytes of a batch that Spark hands to a Python worker; the default, 64 MB of text on both sides of
+#: the pipe, is too much for an executor that runs several.
+ARROW_BYTES = "2m"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, and bound Arrow batches where the session does not."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return spark
+
+
 def base(spark: SparkSession) -> str:
     """URI of the shared folder."""
-    ship(spark)
+    prepare(spark)
     uri = spark.conf.get("spark.checkpoint.dir", None)
     if uri:
         return uri
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="quillguard-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
