@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,64 +19,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import store
+from .words import bounded, held
 
 MAGIC = b"QGBP"
 
 
 class Encoder:
-    """The tokenizers library on whole texts, one call for each distinct white-space-bounded word.
+    """The tokenizers library on whole texts, each white-space-bounded word once while it is remembered.
 
     The vocabulary's normaliser turns white space to a blank and its pre-tokenizer drops it, so a
     text's ids are its words' ids in a row (tests hold this against whole texts). Words are kept in
-    a table of at most ``limit`` entries.
+    two generations of at most ``limit``, so those that go on occurring stay.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tok, self.limit, self.known, self.old = Tokenizer.from_file(path), limit, {}, {}
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
+        mark = self.tok.encode("|", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         data = (text or "").encode("utf-8", "replace")
         words = (data if b"<|" in data else data.lower()).split()
-        known = self.known
-        if new := set(words).difference(known):
-            if len(known) + len(new) > self.limit:
-                known.clear()
+        if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > self.limit:
+                self.old, self.known = self.known, {}
                 new = set(words)
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
 
     def _learn(self, new: set[bytes]) -> None:
         """A mark after an ASCII letter or digit is a piece of its own, so such words share their stem."""
-        known, ended, stems = self.known, [], set()
+        known, old, ended, stems = self.known, self.old, [], set()
         for w in new:
-            if w[-1] in b".,!" and w[-2:-1].isalnum():
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
+            elif w[-1] in b".,!" and w[-2:-1].isalnum():
                 ended.append(w)
                 stems.add(w[:-1])
                 stems.add(w[-1:])
             else:
                 stems.add(w)
+        for w in [w for w in stems if w not in known and w in old]:
+            known[w] = old[w]
         stems = [w for w in stems if w not in known]
-        for i in range(0, len(stems), 4096):
-            some = stems[i : i + 4096]
+        if self.mark is None:
+            odd, stems = stems, []
+        else:
+            odd, stems = [w for w in stems if b"|" in w], [w for w in stems if b"|" not in w]
+        for i in range(0, len(stems), 256):
+            # words with a mark between: one call for many, cut at the mark's id
+            some = stems[i : i + 256]
+            ids = np.array(self.tok.encode(" | ".join([w.decode() for w in some]), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(some) - 1:
+                odd += some
+                continue
+            data = ids.tobytes()
+            for w, a, b in zip(some, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]):
+                known[w] = data[a:b]
+        for i in range(0, len(odd), 4096):
+            some = odd[i : i + 4096]
             for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
+                known[w] = np.array(e.ids, "<u4").tobytes()
         for w in ended:
             known[w] = known[w[:-1]] + known[w[-1:]]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's own encoder; Spark reuses workers, so later tasks find its table filled."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def vocabulary_bits(path: str) -> int:
@@ -177,9 +192,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, width:
     def run(batches):
         part, enc, out, n = TaskContext.get().partitionId(), None, None, 0
         path = f"{folder}/tokens-{part:06d}.bin"
+        batches = bounded(batches)
         first = next(batches, None)
-        while first is not None and not first.num_rows:
-            first = next(batches, None)
         if first is None:
             return
         enc = encoder(tokenizer)
