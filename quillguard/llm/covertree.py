@@ -3,7 +3,7 @@
 Equal vectors are one point. Points are sorted by their nearest pivot and cut into blocks; each
 block is a cover tree whose levels halve the radius. Two trees are walked together: a pair of nodes
 whose centres are further apart than the threshold plus both covering radii is dropped with all its
-pairs. Blocks are the top level of the walk and are pruned in the same way before they are read.
+pairs. Blocks, and groups of blocks, are the levels above and are pruned in the same way unread.
 """
 
 from __future__ import annotations
@@ -14,18 +14,19 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import store
 
 LEAF = 24
+#: Rows of a product of centres that is formed at once.
+TILE = 128
 
 
 class Node:
-    """Points ``idx`` within ``radius`` of the point ``center``. Below it: ``points``, those of its
-    leaves, and ``kids``, its inner nodes; a leaf has points alone."""
+    """Points ``idx`` within ``radius`` of the point ``center``. Below it: ``kids``, nodes of two points or
+    more, and ``points``, its children that are one point; a leaf has points alone."""
 
     __slots__ = ("center", "radius", "idx", "points", "kids", "at", "radii")
 
@@ -45,53 +46,89 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def build(x: np.ndarray, idx: np.ndarray | None = None, level: float = 2.0) -> Node:
     """Cover tree of unit vectors. Each node's children are a net of half its level's radius: centres
-    are further apart than that, and every point is within it of one. Children of at most LEAF points
-    are leaves."""
+    are further apart than that, and every point is within it of one. Levels go on halving down to
+    single points or to leaves of at most LEAF points."""
     idx = np.arange(len(x)) if idx is None else idx
     node = Node(int(idx[0]), float(_far(x[idx], x[idx[:1]]).max()), idx)
-    if len(idx) <= LEAF or node.radius < 1e-9:
+    if len(idx) <= LEAF and level < 2.0 or len(idx) == 1 or node.radius < 1e-9:
         return node
     while level / 2 >= node.radius:
         level /= 2
     points, kids, rest = [], [], idx
+    least = 1 - level * level / 8
     while len(rest):
-        near = _far(x[rest], x[rest[:1]])[:, 0] <= level / 2
+        near = x[rest] @ x[rest[0]] >= least
         near[0] = True
-        if near.sum() <= LEAF:
-            points.append(rest[near])
+        if near.sum() == 1:
+            points.append(rest[0])
         else:
             kids.append(build(x, rest[near], level / 2))
         rest = rest[~near]
-    node.below(np.concatenate(points) if points else idx[:0], kids)
+    node.below(np.array(points, np.int64), kids)
     return node
 
 
-def dual(a: Node, x: np.ndarray, b: Node, y: np.ndarray, limit: float, found: list, same: bool = False) -> None:
-    """Append arrays (i, j) of candidate pairs of points, i of ``x`` and j of ``y``; i < j in one tree."""
+def dual(a: Node, x: np.ndarray, b: Node, y: np.ndarray, limit: float, found: list, same: bool = False, stats: dict | None = None) -> None:
+    """Append arrays (i, j) of candidate pairs of points, i of ``x`` and j of ``y``; in one tree (``same``)
+    each pair once. A pair of nodes is dropped with all its pairs of points when its centres are
+    further apart than ``limit`` plus both covering radii. ``stats`` gets the numbers of products
+    formed, of node pairs met, and of those pruned.
+    """
     stack = [(a, b, same)]
     nearest = 1 - limit * limit / 2
+    products = met = pruned = 0
     while stack:
         a, b, own = stack.pop()
-        cos = x[a.at] @ y[b.at].T
         p, q = len(a.points), len(b.points)
-        i, j = np.nonzero(cos[:p, :q] >= nearest)
-        if own:
-            i, j = i[i < j], j[i < j]
-        if len(i):
-            found.append((a.points[i], b.points[j]))
-        # inner nodes have radii, and are few
-        for k, kid in enumerate(a.kids):
-            close = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[p + k])) <= limit + kid.radius + np.concatenate((np.zeros(q), b.radii))
-            for m in np.flatnonzero(close).tolist():
-                if m >= q and not (own and m - q < k):
-                    stack.append((kid, b.kids[m - q], own and m - q == k))
-            near = b.points[close[:q]]
-            if len(near) and not own:
-                stack.append((kid, _loose(near), False))
-        for m, kid in enumerate(b.kids):
-            near = a.points[np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[:p, q + m])) <= limit + kid.radius]
-            if len(near):
-                stack.append((_loose(near), kid, False))
+        ra, rb = np.concatenate((np.zeros(p), a.radii)), np.concatenate((np.zeros(q), b.radii))
+        near: dict[int, list] = {}  # of a kid of a: what of b it has to be compared with
+        for s in range(0, len(a.at), TILE):
+            e, c = min(s + TILE, len(a.at)), s if own else 0
+            cos = x[a.at[s:e]] @ y[b.at[c:]].T
+            products += cos.size
+            bound = np.full(cos.shape, nearest)
+            if b.kids:
+                bound[:, max(0, q - c) :] = 1 - np.minimum(2.0001, limit + rb[max(q, c) :]) ** 2 / 2
+            if e > p and a.kids:
+                r = max(0, p - s)
+                bound[r:] = 1 - np.minimum(2.0001, limit + ra[s + r : e, None] + rb[None, c:]) ** 2 / 2
+            hit = cos >= bound
+            if own:
+                k = np.arange(e - s)
+                hit[:, : e - s] &= (k[:, None] < k) | ((k[:, None] == k) & (k[:, None] + s >= p))
+            if a.kids or b.kids:
+                rows, cols = max(0, min(p, e) - s), max(0, q - c)
+                cells, kept = cos.size - rows * cols, int(hit.sum()) - int(hit[:rows, :cols].sum())
+                met += cells
+                pruned += cells - kept
+            i, j = np.nonzero(hit)
+            i, j = i + s, j + c
+            plain = (i < p) & (j < q)
+            if plain.any():
+                found.append((a.points[i[plain]], b.points[j[plain]]))
+            for k, m in zip(i[~plain].tolist(), j[~plain].tolist()):
+                if k >= p:
+                    near.setdefault(k - p, []).append(m)
+                elif own:  # a point of this node and a kid of it: the kid's side holds the pair
+                    near.setdefault(m - p, []).append(k)
+                else:
+                    stack.append((_loose(a.points[k : k + 1]), b.kids[m - q], False))
+        for k, some in near.items():
+            kid, loose = a.kids[k], []
+            for m in some:
+                if m < q:
+                    loose.append(b.points[m : m + 1])
+                elif own and m - q == k:
+                    stack.append((kid, kid, True))
+                elif not b.kids[m - q].kids:
+                    loose.append(b.kids[m - q].points)
+                else:
+                    stack.append((kid, b.kids[m - q], False))
+            if loose:
+                stack.append((kid, _loose(np.concatenate(loose)), False))
+    if stats is not None:
+        for k, v in (("products", products), ("met", met), ("pruned", pruned)):
+            stats[k] = stats.get(k, 0) + v
 
 
 def _loose(points: np.ndarray) -> Node:
@@ -136,6 +173,12 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 # --- blocks in shared files ----------------------------------------------------------------------
 
 
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, exactly, so that its largest component is near one: no
+    square overflows or vanishes."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(1))[1][:, None])
+
+
 def _write_block(path: str, ids, mult, raw: np.ndarray) -> None:
     with store.Target(path) as f:
         f.write(struct.pack("<QQ", *raw.shape) + np.array(ids, "<i8").tobytes() + np.array(mult, "<i8").tobytes() + raw.astype("<f8").tobytes() + pickle.dumps(build(unit(raw))))
@@ -168,9 +211,7 @@ def _blocks(pivots: dict, folder: str, size: int):
             nonlocal k
             path = f"{folder}/blocks/block-{part:06d}-{k:05d}.bin"
             k += 1
-            x = np.array(raw, np.float64)
-            # no component may overflow when squared
-            x = x / np.where(np.abs(x).max(1, keepdims=True) > 1e100, 1e200, 1.0) if np.abs(x).max() > 1e100 else x
+            x = scaled(np.array(raw, np.float64))
             _write_block(path, ids, mult, x)
             u = unit(x)
             c = u.mean(0)
@@ -210,54 +251,98 @@ def _nearest(pivots: dict[int, np.ndarray]):
     return run
 
 
-_metas: dict[str, list] = {}
+#: Blocks in a group, the level above blocks.
+GROUP = 512
 
 
-def _meta(uri: str) -> list:
-    """The block list, read by a worker once."""
-    if uri not in _metas:
-        _metas.clear()
-        fs, path = store._at(uri)
-        t = pq.read_table(path, filesystem=fs).sort_by("block").to_pylist()
-        _metas[uri] = [(r["block"], r["dim"], np.frombuffer(r["center"]), r["radius"]) for r in t]
-    return _metas[uri]
+def _grouped(folder: str):
+    """Groups of neighbouring blocks: a file with the blocks' names, centres and radii, and a row."""
 
+    def run(batches):
+        part, k, have = TaskContext.get().partitionId(), 0, []
 
-def _walk(uri: str, cosine: float):
+        def flush():
+            nonlocal k
+            path = f"{folder}/groups/group-{part:06d}-{k:05d}.bin"
+            k += 1
+            centres = np.stack([np.frombuffer(r["center"]) for r in have])
+            radii = np.array([r["radius"] for r in have])
+            with store.Target(path) as f:
+                f.write(pickle.dumps(([r["block"] for r in have], centres, radii)))
+            c = centres.mean(0)
+            c = c / n if (n := math.sqrt((c * c).sum())) > 1e-12 else centres[0]
+            out = (path, have[0]["block"], have[0]["dim"], len(have), c.tobytes(), float((_far(centres, c[None])[:, 0] + radii).max()))
+            have.clear()
+            return out
+
+        rows = []
+        for b in batches:
+            for r in b.to_pylist():
+                if have and (len(have) == GROUP or r["dim"] != have[0]["dim"]):
+                    rows.append(flush())
+                have.append(r)
+        if have:
+            rows.append(flush())
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in GROUPS.split(", ")])
+
+    return run
+
+
+GROUPS = "path string, first string, dim int, n long, center binary, radius double"
+
+
+def _group(path: str):
+    with store.opened(path) as f:
+        return pickle.loads(f.read())
+
+
+def _walk(shared, total: int, cosine: float):
+    """Each block against itself and half of the others, those round the circle after it: groups that the
+    bound excludes are not read, blocks that it excludes neither."""
     limit = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
 
     def run(batches):
+        groups = shared.value
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                meta = _meta(uri)
-                n = len(meta)
-                k = next(i for i, m in enumerate(meta) if m[0] == name)
+            for path, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                names, cs, rs = _group(path)
+                base, dim = next((g[1], g[2]) for g in groups if g[0] == path)
+                k, name, center, radius = base + place, names[place], cs[place], rs[place]
                 own = Block(name)
-                _, dim, center, radius = meta[k]
-                for s in range(n // 2 + 1):
-                    m = (k + s) % n
-                    if 2 * s == n and m < k and s:  # the opposite block's task has this pair
-                        continue
-                    if meta[m][1] != dim or s and math.sqrt(max(0.0, 2 - 2 * float(center @ meta[m][2]))) > limit + radius + meta[m][3]:
+                for gp, first, gdim, n, gc, gr in groups:
+                    if gdim != dim or math.sqrt(max(0.0, 2 - 2 * float(center @ gc))) > limit + radius + gr:
                         continue
-                    other = own if m == k else Block(meta[m][0])
-                    i, j = _pairs_within(own.tree, own.unit, other.tree, other.unit, limit, m == k)
-                    ok = confirmed(own.raw, i, other.raw, j, cosine)
-                    i, j = i[ok], j[ok]
-                    if not len(i):
-                        continue
-                    shift = 0 if m == k else len(own.ids)
-                    ids = own.ids if m == k else np.concatenate([own.ids, other.ids])
-                    mult = own.mult if m == k else np.concatenate([own.mult, other.mult])
-                    j = j + shift
-                    links = np.bincount(i, weights=mult[j], minlength=len(ids)) + np.bincount(j, weights=mult[i], minlength=len(ids))
-                    root = _roots(len(ids), i, j)
-                    some = np.flatnonzero(links)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(links[some].astype(np.int64), pa.int64()), pa.array(ids[root[some]], pa.int64())], ["id", "links", "root"])
+                    others, oc, orad = _group(gp)
+                    m = first + np.arange(n)
+                    s = (m - k) % total
+                    mine = (2 * s < total) | ((2 * s == total) & (m > k))
+                    close = np.sqrt(np.maximum(0.0, 2 - 2 * (oc @ center))) <= limit + radius + orad
+                    for i in np.flatnonzero(mine & (close | (s == 0))).tolist():
+                        same = first + i == k
+                        if (got := _compared(own, own if same else Block(others[i]), same, limit, cosine)) is not None:
+                            yield got
 
     return run
 
 
+def _compared(own: Block, other: Block, same: bool, limit: float, cosine: float):
+    """One row for each vector with links: how many, and the smallest vector it reaches by these."""
+    i, j = _pairs_within(own.tree, own.unit, other.tree, other.unit, limit, same)
+    ok = confirmed(own.raw, i, other.raw, j, cosine)
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return None
+    ids = own.ids if same else np.concatenate([own.ids, other.ids])
+    mult = own.mult if same else np.concatenate([own.mult, other.mult])
+    j = j + (0 if same else len(own.ids))
+    links = np.bincount(i, weights=mult[j], minlength=len(ids)) + np.bincount(j, weights=mult[i], minlength=len(ids))
+    root = _roots(len(ids), i, j)
+    some = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(links[some].astype(np.int64), pa.int64()), pa.array(ids[root[some]], pa.int64())], ["id", "links", "root"])
+
+
 def near(vectors: DataFrame, folder: str, cosine: float = 0.95, block: int = 2048, pivots: int = 256) -> DataFrame:
     """All rows of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -291,8 +376,15 @@ def near(vectors: DataFrame, folder: str, cosine: float = 0.95, block: int = 204
         placed = points.select("id", "mult", "dim", "embedding").mapInArrow(_nearest(pv), "id long, mult long, dim int, embedding array<double>, pivot int, far double")
         ranged = placed.repartitionByRange(max(1, -(-n // block)), "dim", "pivot", "far", "id").sortWithinPartitions("dim", "pivot", "far", "id")
         meta = store.saved(ranged.mapInArrow(_blocks(pv, folder, 2 * block), META), f"{folder}/meta")
-        tasks = meta.select("block").repartition(min(4 * store.parts(spark), max(1, -(-n // block))))
-        got = store.saved(tasks.mapInArrow(_walk(f"{folder}/meta", cosine), "id long, links long, root long"), f"{folder}/links")
+        ordered = meta.repartitionByRange(max(1, -(-n // (block * GROUP))), "block").sortWithinPartitions("block")
+        found = store.saved(ordered.mapInArrow(_grouped(folder), GROUPS), f"{folder}/group-list")
+        groups, total = [], 0
+        for r in found.orderBy("first").collect():  # a row for about GROUP * block vectors
+            groups.append((r["path"], total, r["dim"], r["n"], np.frombuffer(r["center"]), r["radius"]))
+            total += r["n"]
+        shared = spark.sparkContext.broadcast(groups)
+        tasks = found.select("path", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("place")).repartition(min(4 * store.parts(spark), max(1, total)))
+        got = store.saved(tasks.mapInArrow(_walk(shared, total, cosine), "id long, links long, root long"), f"{folder}/links")
         comp = components(got.select(F.col("id").alias("u"), F.col("root").alias("v")), f"{folder}/cc").withColumnRenamed("u", "id")
         links = got.groupBy("id").agg(F.sum("links").alias("links"))
         named = points.select("k1", "k2", "id", "mult").join(links, "id", "left").join(comp, "id", "left")
