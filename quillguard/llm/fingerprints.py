@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import store
-from .words import mix
+from .words import bounded, mix
 
 #: Chunk sizes in bytes: none below the first but the last one, a strict mask up to the second, a
 #: loose one from there, none above the third.
@@ -86,36 +87,55 @@ def written(c: dict[int, int]) -> str:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_next(docs: DataFrame, folder: str) -> DataFrame:
+def _part(cuts: list[tuple[int, int]]):
+    """Range of a key (o, h) among ascending ``cuts``, by bisection: how many cuts are not above it."""
+    first, second = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+
+    @F.pandas_udf("int")
+    def part(o: pd.Series, h: pd.Series) -> pd.Series:
+        o, h = o.to_numpy(np.int64), h.to_numpy(np.int64)
+        low, high = np.searchsorted(first, o, "left"), np.searchsorted(first, o, "right")
+        for x in np.unique(o[low < high]).tolist():  # cuts that share their first half
+            own = np.flatnonzero(o == x)
+            i, j = low[own[0]], high[own[0]]
+            high[own] = i + np.searchsorted(second[i:j], h[own], "right")
+        return pd.Series(high.astype(np.int32))
+
+    return part
+
+
+def compare_with_next(docs: DataFrame, folder: str, sample: int = 64) -> DataFrame:
     """For each document of ``docs`` (doc_id, text): its fingerprint, that of its edited text (the last
     quarter of its code points replaced by the first as many of the next document's, by ascending
     doc_id, the first after the last), and the likeness to that and to the next document.
 
     Null text: empty, with an empty fingerprint. Rows without doc_id come first; repeated ids are
-    ordered by text. One row alone is its own next. An empty table gives no rows. Other columns are
-    not read.
+    ordered by a hash of the text. One row alone is its own next. An empty table gives no rows. Other
+    columns are not read.
 
-    One shuffle of the texts, by ranges of doc_id; each range also gets the first row of the range
-    after it, so that neighbours across the border meet without a window over all rows.
+    One shuffle of the texts, by ranges of (doc_id, hash), so that an id that many rows share is cut as
+    well; about ``sample`` keys a range come to the driver to cut the ranges, which no result depends
+    on. Each range also gets the first row of the range after it, so that neighbours across the border meet
+    without a window over all rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = store.parts(spark)
-    cuts = rows.agg(F.percentile_approx("o", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    cuts = sorted(set(cuts or []))  # at most one a shuffle partition
-    part = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c < F.col("o"))) if cuts else F.lit(0)
-    # first row of each range, in the order used below; found by narrow columns
-    firsts = rows.groupBy(part.alias("part")).agg(F.min("o").alias("o")).orderBy("part").collect()
-    if not firsts:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), F.xxhash64(text).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    n, total = store.parts(spark), rows.count()
+    if not total:
         return spark.createDataFrame([], OUT)
-    ranges = [r["part"] for r in firsts]
-    before = {firsts[i]["o"]: ranges[i - 1] for i in range(len(firsts))}  # wraps to the last range
-    extra = F.lit(None).cast("int")
-    for o, p in before.items():
-        extra = F.when(F.col("o") == o, p).otherwise(extra)
-    dealt = rows.withColumn("part", part).withColumn("_to", F.explode(F.array_compact(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("tail")), F.when(extra.isNotNull(), F.struct(extra.alias("p"), F.lit(1).alias("tail")))))))
-    dealt = dealt.select(F.col("_to.p").alias("part"), F.col("_to.tail").alias("tail"), "o", "doc_id", "text")
-    return dealt.repartitionByRange(len(ranges), "part").sortWithinPartitions("part", "tail", "o", "text").mapInArrow(_walk, OUT)
+    # seeded by the row's own key, so that a repeated job finds the same cuts
+    share = min(1.0, sample * n / total)
+    some = rows.select("o", "h").where(F.pmod(F.xxhash64("o", "h", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    keys = sorted(some.distinct().limit(4 * sample * n).collect()) if n > 1 else []
+    cuts = sorted({tuple(keys[i * len(keys) // n]) for i in range(1, n)}) if keys else []
+    part = _part(cuts)(F.col("o"), F.col("h")) if cuts else F.lit(0)
+    firsts = rows.groupBy(part.alias("part")).agg(F.min(F.struct("o", "h")).alias("m")).select("part", "m.o", "m.h").orderBy("part").collect()  # a row a range
+    after = spark.createDataFrame([(firsts[i - 1]["part"], r["o"], r["h"]) for i, r in enumerate(firsts)], "part int, _o long, _h long")  # wraps to the last range
+    tails = rows.join(F.broadcast(after), (F.col("o") == F.col("_o")) & (F.col("h") == F.col("_h"))).groupBy("part").agg(F.first("text").alias("text"))
+    dealt = rows.select(part.alias("part"), F.lit(0).alias("tail"), "o", "h", "doc_id", "text")
+    dealt = dealt.unionByName(tails.select("part", F.lit(1).alias("tail"), F.lit(None).cast("long").alias("o"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("doc_id"), "text"))
+    return dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "tail", "o", "h").select("part", "tail", "doc_id", "text").mapInArrow(_walk, OUT)
 
 
 def _walk(batches):
@@ -134,16 +154,14 @@ def _walk(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     out, size = [], 0
-    for batch in batches:
-        for p, tail, _, d, t in zip(*(c.to_pylist() for c in batch.columns)):
+    for batch in bounded(batches):
+        for p, tail, d, t in zip(*(c.to_pylist() for c in batch.columns)):
             if p != state["part"]:
                 state = {"part": p, "held": None}
-            if state["held"] == "over":  # further rows that share the next range's first id
-                continue
             own = chunks(t)
             if state["held"] is not None:
                 out.append(done(t, own))
-            state["held"] = "over" if tail else (d, t, own)
+            state["held"] = None if tail else (d, t, own)
             size += len(t)
             if size > 4_000_000:
                 yield flush(out)
