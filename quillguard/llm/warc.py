@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import store
+from .words import bounded
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -114,16 +115,10 @@ def sparse_index(uri: str) -> list[tuple[tuple, int]]:
     return [*out, ((), at)]
 
 
-def read_run(uri: str, low: tuple | None, high: tuple | None, buffer: int = 1 << 18):
-    """A run's entries with low <= key < high, through a buffer of bounded size."""
-    index = sparse_index(uri)
-    end = index.pop()[1]
-    keys = [k for k, _ in index]
-    first = max(0, bisect.bisect_left(keys, low) - 1) if low is not None else 0
-    if not index:
-        return
+def read_run(uri: str, start: int, end: int, low: tuple | None, high: tuple | None, buffer: int = 1 << 16):
+    """Entries with low <= key < high of the part start..end of a run, through a buffer of bounded size."""
     with store.opened(uri) as f:
-        at = index[first][1]
+        at = start
         f.seek(at)
         buf, pos = b"", 0
         while True:
@@ -145,6 +140,23 @@ def read_run(uri: str, low: tuple | None, high: tuple | None, buffer: int = 1 <<
             yield e
 
 
+def pieces(index: list[tuple[tuple, int]], cuts: list[tuple]) -> list[tuple[int, int, int]]:
+    """(shard, start, end): the parts of a run, given its sparse index, that may hold entries of each
+    shard; shards are divided by ``cuts``. Found by bisection, for all shards in one pass."""
+    end = index[-1][1]
+    keys = [k for k, _ in index[:-1]]
+    if not keys:
+        return []
+    out = []
+    # a cut falls behind the last indexed key that is below it
+    first = [0, *(max(0, bisect.bisect_left(keys, c) - 1) for c in cuts)]
+    last = [*(bisect.bisect_left(keys, c) for c in cuts), len(keys)]
+    for shard, (i, j) in enumerate(zip(first, last)):
+        if i < j:
+            out.append((shard, index[i][1], index[j][1] if j < len(keys) else end))
+    return out
+
+
 def _whole(buf: bytes, pos: int) -> bool:
     if len(buf) - pos < _HEAD.size:
         return False
@@ -230,7 +242,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 256 << 20, run_row
             entries.clear()
 
         try:
-            for batch in batches:
+            for batch in bounded(batches):
                 for p, u, payload, stamp, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "stamp", "digest", "refers_to"))):
                     if target is None:
                         name, at = f"{folder}/archives/part-{part:06d}-{k:04d}.warc.gz", 0
@@ -259,20 +271,23 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 256 << 20, run_row
 INDEX = "url_key string, stamp long, page_id long, archive string, offset long, length long, shard int, place long"
 
 
-def merged(spark, runs: DataFrame, folder: str, shard_rows: int = 50_000, fan_in: int = 256) -> DataFrame:
+def merged(spark, runs: DataFrame, folder: str, shard_rows: int = 50_000, max_shards: int = 4096, fan_in: int = 256) -> DataFrame:
     """The captures of all runs in global order: shards follow each other, place counts within one.
 
-    Key ranges are cut at entries of the runs' sparse indexes (one in 256 captures, one row a run
-    comes to the driver). A shard's task opens the part of each run that falls in its range and
-    merges up to ``fan_in`` at once; more runs take further passes over intermediate runs. Keys end
-    in timestamp and page id, so a URL with a third of all captures is cut as well.
+    Key ranges are cut at entries of the runs' sparse indexes (one in 256 captures); about 64 keys for
+    each of at most ``max_shards`` shards come to the driver. Each run's index is then read once more to
+    list the part of it that each shard needs, and a shard's task opens the listed parts alone. It
+    merges up to ``fan_in`` at once; more take further passes over intermediate runs. Keys end in
+    timestamp and page id, so a URL with a third of all captures is cut as well; merging streams,
+    so a shard may be of any size. An empty table has no runs and gives no rows; entries with equal
+    keys are all kept, in the order of their runs' paths.
     """
-    listed = [(r.path, r.n) for r in runs.orderBy("path").collect()]  # a row a run
-    if not listed:
+    n, total, blocks = runs.agg(F.count("*"), F.sum("n"), F.sum(F.ceil(F.col("n") / SPARSE))).first()
+    if not total:
         return spark.createDataFrame([], INDEX)
-    shards = max(1, -(-sum(n for _, n in listed) // shard_rows))
-    shards = max(shards, min(store.parts(spark), sum(n for _, n in listed) // SPARSE))
-    every = max(1, sum(-(-n // SPARSE) for _, n in listed) // (64 * shards))
+    shards = max(1, -(-total // shard_rows), min(store.parts(spark), total // SPARSE))
+    shards = min(shards, max_shards)
+    every = max(1, blocks // (64 * shards))
 
     def sample(batches):
         for b in batches:
@@ -281,42 +296,55 @@ def merged(spark, runs: DataFrame, folder: str, shard_rows: int = 50_000, fan_in
                 some = keys[zlib.crc32(path.encode()) % every :: every]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["k", "t", "h", "p"])
 
-    paths = spark.createDataFrame([(p,) for p, _ in listed], "path string").repartition(min(len(listed), 4 * store.parts(spark)))
+    paths = runs.select("path").repartition(min(n, 4 * store.parts(spark)), "path")
     keys = sorted(tuple(r) for r in paths.mapInArrow(sample, "k string, t long, h long, p long").collect())  # about 64 a shard
     cuts = sorted({keys[i * len(keys) // shards] for i in range(1, shards)}) if keys else []
-    bounds = list(zip([None, *cuts], [*cuts, None]))
-    names = [p for p, _ in listed]
-    shared = spark.sparkContext.broadcast((names, bounds))
+    shared = spark.sparkContext.broadcast(cuts)  # at most max_shards keys
+
+    def locate(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                got = pieces(sparse_index(path), shared.value)
+                cols = list(zip(*got)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([path] * len(got), pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["shard", "path", "start", "end"])
 
     def run(batches):
-        names, bounds = shared.value
+        shard, parts = None, []
         for b in batches:
-            for shard in b.column(0).to_pylist():
-                low, high = bounds[shard]
-                todo, level = list(names), 0
-                while len(todo) > fan_in:
-                    some = [todo[i : i + fan_in] for i in range(0, len(todo), fan_in)]
-                    todo = []
-                    for j, group in enumerate(some):
-                        path = f"{folder}/merge/shard-{shard:06d}-{level}-{j:05d}.bin"
-                        write_run(path, loser_tree([_windowed(p, low, high) for p in group]))
-                        todo.append(path)
-                    level += 1
-                out, place = [], 0
-                for e in loser_tree([_windowed(p, low, high) for p in todo]):
-                    out.append((e[0], e[1], e[3] if e[2] else None, e[4], e[5], e[6], shard, place))
-                    place += 1
-                    if len(out) == 20_000:
-                        yield _batch(out)
-                        out = []
-                yield _batch(out)
-
-    ranges = spark.range(len(bounds)).select(F.col("id").cast("int").alias("shard")).repartition(len(bounds), "shard") if len(bounds) > 1 else spark.createDataFrame([(0,)], "shard int")
-    return store.saved(ranges.mapInArrow(run, INDEX), f"{folder}/history")
-
-
-def _windowed(path, low, high):
-    return read_run(path, low, high, buffer=1 << 16)
+            for s, path, start, end in zip(*(c.to_pylist() for c in b.columns)):
+                if s != shard and parts:
+                    yield from _shard(folder, shard, parts, shared.value, fan_in)
+                    parts = []
+                shard = s
+                parts.append((path, start, end))
+        if parts:
+            yield from _shard(folder, shard, parts, shared.value, fan_in)
+
+    listed = paths.mapInArrow(locate, "shard int, path string, start long, end long")
+    listed = listed.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "path")
+    return store.saved(listed.mapInArrow(run, INDEX), f"{folder}/history")
+
+
+def _shard(folder: str, shard: int, todo: list[tuple[str, int, int]], cuts: list[tuple], fan_in: int):
+    """One shard's captures in batches, merged from parts of runs."""
+    low, high = (cuts[shard - 1] if shard else None), (cuts[shard] if shard < len(cuts) else None)
+    level = 0
+    while len(todo) > fan_in:
+        some = [todo[i : i + fan_in] for i in range(0, len(todo), fan_in)]
+        todo = []
+        for j, group in enumerate(some):
+            path = f"{folder}/merge/shard-{shard:06d}-{level}-{j:05d}.bin"
+            write_run(path, loser_tree([read_run(*p, low, high) for p in group]))
+            todo.append((path, 0, sparse_index(path)[-1][1]))
+        level += 1
+    out, place = [], 0
+    for e in loser_tree([read_run(*p, low, high) for p in todo]):
+        out.append((e[0], e[1], e[3] if e[2] else None, e[4], e[5], e[6], shard, place))
+        place += 1
+        if len(out) == 20_000:
+            yield _batch(out)
+            out = []
+    yield _batch(out)
 
 
 def _batch(rows):
@@ -330,7 +358,8 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 def read(history: DataFrame, slice_bytes: int = 8 << 20) -> DataFrame:
     """The records that the history points to, read from the archives by offset and length. A response's
-    digest and size are computed from its payload and must equal its headers; a revisit's come from its own."""
+    digest and size are computed from its payload and must equal its headers; a revisit's come from its
+    own. A record without page id gives null; an empty history gives no rows; a record listed twice is read twice."""
 
     def run(pdf):
         import pandas as pd
