@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import store
 from .components import components
-from .words import hashes, mix, shingles, split
+from .words import bounded, hashes, mix, shingles, split
 
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>, nibbles array<long>"
 
@@ -44,7 +44,7 @@ def sketches(docs: DataFrame, k: int, rows: int, half: int, seed: int) -> DataFr
     def run(batches):
         words, (mul, xor) = hashes(), _constants(max(64, 2 * half * rows), seed)
         tag = mix(np.arange(2 * half, dtype=np.uint64) + np.uint64(seed))
-        for batch in batches:
+        for batch in bounded(batches):
             out = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(words.of(split(t)), k)
@@ -71,7 +71,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         words = hashes()
-        for batch in batches:
+        for batch in bounded(batches):
             sets = [shingles(words.of(split(t)), k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
@@ -166,7 +166,21 @@ def _links(docs, reps, k, percent, alike, folder):
 
 
 #: Documents in a block when their short hashes are compared, and when their full sets are.
-BLOCK, SET_BLOCK = 256, 64
+BLOCK, SET_BLOCK = 1024, 64
+
+
+def block_pairs(rows: DataFrame, size: int, columns: list[str]) -> DataFrame:
+    """Pairs of blocks (h, pos, i, j, x, y) of the rows (h, pos, n, id, main, ...) of each half-key: block i
+    of those with ``main`` true against block j of all, about ``size`` rows each. Rows are dealt to
+    blocks by a hash of the id and sent once for each block they meet; the blocks' numbers are part
+    of the join's key, so the pairs of one half-key with any number of members lie in many tasks.
+    """
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    cut = rows.withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    block = F.collect_list(F.struct(*columns))
+    xs = cut.where("main").groupBy("h", "pos", F.col("_own").alias("i"), F.col("_met").alias("j")).agg(block.alias("x"))
+    ys = cut.groupBy("h", F.col("_met").alias("i"), F.col("_own").alias("j")).agg(block.alias("y"))
+    return xs.join(ys, ["h", "i", "j"]).select("h", "pos", "i", "j", "x", "y")
 
 
 def _across(docs, reps, some, comp, k, percent, alike, folder):
@@ -175,8 +189,7 @@ def _across(docs, reps, some, comp, k, percent, alike, folder):
     A half-key's members outside the component of its smallest id are compared with all its members,
     block against block, so that neither a join nor a task makes the pairs as rows. Short hashes name
     the documents with a likely partner; the full sets of these alone are then compared in blocks.
-    A pair is taken up in the first half-key that it shares. Blocks are dealt by a hash of the id, so
-    that a half-key with any number of members is spread.
+    A pair is taken up in the first half-key that it shares.
     """
     base = reps.join(some, "id", "left_semi").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "a", "nibbles")
     rows = base.select("*", F.posexplode("a").alias("pos", "h"))
@@ -189,17 +202,20 @@ def _across(docs, reps, some, comp, k, percent, alike, folder):
     flat = lambda df, *more: df.select("h", "pos", "n", "main", "id", "component", *(F.col("a")[i].alias(f"a{i}") for i in range(half)), *(F.col("nibbles")[i].alias(f"n{i}") for i in range(4)), *more)
 
     def met(df, size, *more):
-        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)).alias("salt")
-        df = df.withColumn("salt", salt)
-        block = F.collect_list(F.struct(*names, *more))
-        out = df.where("component <> main").groupBy("h", "pos", "salt").agg(block.alias("x")).drop("salt")
-        return out.join(df.groupBy("h", "salt").agg(block.alias("y")).drop("salt"), "h").select("h", "pos", "x", "y")
+        apart = df.withColumn("main", F.col("component") != F.col("main"))
+        return block_pairs(apart, size, [*names, *more]).select("h", "pos", "x", "y")
+
+    tile = 256
 
     def columns(value):
         s = value.values
         return {n: s.field(i) for i, n in enumerate(x.name for x in s.type)}
 
     def mask(x, y, pos):
+        """Which pairs lie in different components, are alike, and share no earlier half-key."""
+        n = len(x["id"])
+        if n > tile:
+            return np.concatenate([mask({k: v.slice(i, tile) for k, v in x.items() if k != "set"}, y, pos) for i in range(0, n, tile)])
         col = lambda c, n: c[n].to_numpy()
         ok = col(x, "component")[:, None] != col(y, "component")[None]
         same = np.full(ok.shape, 64, np.int64)
@@ -258,13 +274,35 @@ def _across(docs, reps, some, comp, k, percent, alike, folder):
 
 
 def kept(docs: DataFrame, folder: str, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id (of repeated
-    rows, one). A row without doc_id, or whose text has no word, stays."""
+    """``docs`` with one document of each component, the one with the smallest doc_id. Of rows that
+    share that doc_id and a shingle set one stays; rows that share the id alone are different
+    documents and stay each. A row without doc_id, or whose text has no word, stays. All columns are
+    kept, whatever their names; an empty table gives no rows."""
     c = clusters(docs, folder, **options)
-    gone = store.saved(c.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), f"{folder}/gone")
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = store.saved(c.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), f"{folder}/again")
-    if not again.take(1):
-        return out
-    twice = out.join(again, F.col("doc_id").cast("long") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, F.col("doc_id").cast("long") == F.col("_again"), "left_anti").unionByName(twice)
+    own, gone, again = (_unused(docs.columns, x) for x in ("_id", "_gone", "_again"))
+    rows = docs.withColumn(own, F.col("doc_id").cast("long"))
+    lost = store.saved(c.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone)).distinct(), f"{folder}/gone")
+    out = rows.join(lost, F.col(own) == F.col(gone), "left_anti")
+    many = store.saved(c.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again)), f"{folder}/again")
+    if not many.take(1):
+        return out.drop(own)
+    k, (s1, s2) = options.get("k", 5), (_unused(docs.columns, x) for x in ("_s1", "_s2"))
+    at = out.columns.index("text")
+
+    def hashed(batches):
+        words = hashes()
+        for batch in bounded(batches):
+            sets = [shingles(words.of(split(t)), k) for t in batch.column(at).to_pylist()]
+            both = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], names=[*batch.schema.names, s1, s2])
+
+    twice = out.join(many, F.col(own) == F.col(again), "left_semi")
+    twice = twice.mapInArrow(hashed, out.schema.add(s1, "long").add(s2, "long")).dropDuplicates([own, s1, s2])
+    return out.join(many, F.col(own) == F.col(again), "left_anti").unionByName(twice.drop(s1, s2)).drop(own)
+
+
+def _unused(columns: list[str], name: str) -> str:
+    have = {c.lower() for c in columns}
+    while name in have:
+        name += "_"
+    return name
