@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import store
-from .words import hashes, mix, split
+from .words import bounded, hashes, mix, split
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
@@ -73,7 +73,7 @@ def chunks(batches, limit: int):
     """Chunks of a task's rows (doc_id, fold, text), in order; deleted documents have chunks of their own."""
     part, table = TaskContext.get().partitionId(), hashes()
     open_, count = {}, {}
-    for batch in batches:
+    for batch in bounded(batches):
         for d, f, t in zip(*(c.to_pylist() for c in batch.columns)):
             k = int(f == DELETED)
             if k not in open_:
@@ -94,13 +94,15 @@ def _send(limit: int, nb: int):
     def run(batches):
         cut = (np.arange(1, nb, dtype=np.uint64) * np.uint64((1 << 64) // nb)).astype(np.uint64)
         for c in chunks(batches, limit):
-            out = {"bucket": list(range(nb)), "chunk": [c.key] * nb}
+            cuts = {x: np.array([0, *np.searchsorted(uniq, cut).tolist(), len(uniq)]) for x, uniq in (("w", c.words), ("p", c.pairs))}
+            some = np.flatnonzero((np.diff(cuts["w"]) > 0) | (np.diff(cuts["p"]) > 0)).tolist()  # empty ranges aren't sent
+            out = {"bucket": some, "chunk": [c.key] * len(some)}
             for x, uniq, of in (("w", c.words, c.word_of), ("p", c.pairs, c.pair_of)):
-                at = [0, *np.searchsorted(uniq, cut).tolist(), len(uniq)]
+                at = cuts[x].tolist()
                 count = [np.bincount(of[c.fold == f], minlength=len(uniq)) for f in (LEARN, DELETED)]
-                out[x + "h"] = [uniq[i:j].tobytes() for i, j in zip(at, at[1:])]
+                out[x + "h"] = [uniq[at[i] : at[i + 1]].tobytes() for i in some]
                 for name, n in zip("ab", count):
-                    out[x + name] = [encode(n[i:j]) for i, j in zip(at, at[1:])]
+                    out[x + name] = [encode(n[at[i] : at[i + 1]]) for i in some]
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), *((k, pa.binary()) for k in ("wh", "wa", "wb", "ph", "pa", "pb"))]))
 
     return run
@@ -208,7 +210,7 @@ def folds(doc_id: Column, modulus: int = 7, test: int = 2, deleted: int = 3) ->
     return F.when(r == test, TEST).when(r == deleted, DELETED).otherwise(LEARN).cast("int")
 
 
-def score(docs: DataFrame, folder: str, chunk_chars: int = 6_000_000, is_table: bool = False) -> DataFrame:
+def score(docs: DataFrame, folder: str, chunk_chars: int = 6_000_000, range_bytes: int = 8 << 20, is_table: bool = False) -> DataFrame:
     """Score whole texts of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -220,17 +222,20 @@ def score(docs: DataFrame, folder: str, chunk_chars: int = 6_000_000, is_table:
     Texts are scanned three times (the second scan reads the deleted part alone) and never shuffled.
     The scans must see the same rows in the same tasks: ``is_table`` says that ``docs`` is a scan of
     files; anything else is written to ``folder`` first. A chunk whose n-grams changed is an error.
+    The hash range is cut so that about ``range_bytes`` of text stand behind each part, whatever the number
+    of shuffle partitions: a part is what one task holds at once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not is_table:
         rows = store.saved(rows, f"{folder}/texts")
     rows = rows.select("doc_id", folds(F.col("doc_id")).alias("fold"), "text")
-    sent = rows.mapInArrow(_send(chunk_chars, store.parts(spark)), SENT)
+    starts = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}  # three rows
+    learn, deleted = (starts[f]["n"] if f in starts else 0 for f in (LEARN, DELETED))
+    ranges = max(store.parts(spark), -(-sum(r["bytes"] or 0 for r in starts.values()) // range_bytes))
+    sent = rows.mapInArrow(_send(chunk_chars, ranges), SENT)
     back = store.saved(sent.groupBy("bucket").applyInPandas(_merge, BACK), f"{folder}/back")
     v, n, va, na = (int(x or 0) for x in back.agg(*(F.sum(c) for c in ("v", "n", "va", "na"))).first())
-    starts = {r["fold"]: r["count"] for r in rows.select("fold").groupBy("fold").count().collect()}  # three rows
-    learn, deleted = starts.get(LEARN, 0), starts.get(DELETED, 0)
     answers = f"{folder}/answers"
     store.make(answers)
     store.saved(back.groupBy("chunk").applyInPandas(_answers(answers), "chunk string"), f"{folder}/gathered")
