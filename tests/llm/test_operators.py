@@ -95,6 +95,32 @@ def test_warc(spark, folder):
     assert warc.read(warc.merged(spark, warc.write(warc.deduplicated(pages.where("false"), nothing), nothing), nothing)).count() == 0
 
 
+def test_pieces_of_a_run(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SPARSE", 4)
+    r = np.random.default_rng(2)
+    entries = sorted((f"k{int(a):02d}", int(b), 1, i, "f", 0, 0) for i, (a, b) in enumerate(r.integers(0, 12, (90, 2))))
+    path = str(tmp_path / "run")
+    warc.write_run(path, entries)
+    index = warc.sparse_index(path)
+    for cuts in ([], [entries[0][:4]], [("a", 0, 0, 0), ("z", 0, 0, 0)], sorted({entries[i][:4] for i in r.integers(0, 90, 7)}), [e[:4] for e in entries]):
+        bounds = list(zip([None, *cuts], [*cuts, None]))
+        got = []
+        for shard, start, end in warc.pieces(index, cuts):
+            got += [(shard, e) for e in warc.read_run(path, start, end, *bounds[shard], buffer=64)]
+        assert [e for _, e in got] == entries
+        assert all((bounds[s][0] is None or e[:4] >= bounds[s][0]) and (bounds[s][1] is None or e[:4] < bounds[s][1]) for s, e in got)
+
+
+def test_many_shards_of_many_runs(spark, folder, monkeypatch):
+    monkeypatch.setattr(warc, "SPARSE", 4)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), (F.col("id") % 3).cast("string")).alias("url"), F.lit("x").alias("html"), F.lit(20240101000000).alias("stamp")).repartition(4)
+    runs = warc.write(warc.deduplicated(pages, folder), folder, run_rows=50)
+    history = warc.merged(spark, runs, folder, shard_rows=20)
+    got = [(h.url_key, h.stamp, h.page_id) for h in history.orderBy("shard", "place").collect()]
+    assert len(got) == 400 and got == sorted(got) and history.select("shard").distinct().count() > 4
+    assert warc.merged(spark, runs, folder + "/one", max_shards=1).select("shard").distinct().count() == 1
+
+
 # --- 2 and 7 -----------------------------------------------------------------------------------------
 
 
@@ -140,20 +166,42 @@ def test_token_files(spark, docs, empty, folder, whole_ids):
 
 
 def test_best_fit():
-    r = np.random.default_rng(1)
-    sizes = r.integers(1, 101, 500).tolist()
-    bins: dict[int, int] = {}
-    for n, (b, off) in zip(sizes, packing.best_fit(sizes, 100, 8)):
-        assert off == bins.get(b, 0)
-        bins[b] = off + n
-        assert bins[b] <= 100
-    assert len(bins) < 1.25 * sum(sizes) / 100
-    assert [b for b, _ in packing.best_fit([60, 70, 30, 40], 100, 2)] == [0, 1, 1, 0]
-    assert [b for b, _ in packing.best_fit([60, 70, 80, 30], 100, 2)] == [0, 1, 2, 0]  # 70 was the fullest and closed
+    def bins(sizes, capacity, open_bins):
+        p = packing.Packer(capacity, open_bins)
+        return [p.place(n) for n in sizes], p
+
+    def plain(sizes, capacity, open_bins):
+        """The same rule with a list of the open bins."""
+        open_, last, out, closed = [], -1, [], 0
+        for n in sizes:
+            fit = min((b for b in open_ if b[1] >= n), key=lambda b: b[1], default=None)
+            if fit is None:
+                if len(open_) == open_bins:
+                    open_.remove(min(open_, key=lambda b: b[1]))
+                    closed += 1
+                last += 1
+                open_.append(fit := [last, capacity])
+            out.append(capacity - fit[1])
+            fit[1] -= n
+            if not fit[1]:
+                open_.remove(fit)
+        return out, last + 1, closed
+
+    sizes = np.random.default_rng(1).integers(1, 101, 500).tolist()
+    for open_bins in (1, 2, 8, 1000):
+        got, p = bins(sizes, 100, open_bins)
+        used: dict[int, int] = {}
+        for n, (b, off) in zip(sizes, got):
+            assert off == used.get(b, 0)
+            used[b] = off + n
+        assert max(used.values()) <= 100 and ([o for _, o in got], p.bins, p.closed) == plain(sizes, 100, open_bins)
+        assert (p.closed > 0) == (open_bins < 1000)
+    assert [b for b, _ in bins([60, 70, 30, 40], 100, 2)[0]] == [0, 1, 1, 0]
+    assert [b for b, _ in bins([60, 70, 80, 30], 100, 2)[0]] == [0, 1, 2, 0]  # 70 was the fullest and closed
 
 
 def test_packing(docs, empty, whole_ids):
-    got = packing.pack(docs, queries.tokenizer(), capacity=256, lot_docs=7).toPandas()
+    got = packing.pack(docs, queries.tokenizer(), capacity=256, look_ahead=7).toPandas()
     assert Counter((None if math.isnan(d) else int(d), s, n, c) for d, s, n, c in zip(got["doc_id"], got["start"], got["length"], got["ids_crc32"])) == Counter(
         (i, s, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for i, t in TEXTS for ids in [whole_ids(t) + [0]] for s in range(0, len(ids), 256) for p in [ids[s : s + 256]]
     )
@@ -178,6 +226,67 @@ def test_lm(docs, empty, folder):
     assert lm.score(empty, folder + "/e").count() == 0
 
 
+def test_lm_scores_are_those_of_the_formula(spark, folder):
+    """Counts, buckets, EM and scores from dictionaries; range sizes and chunks do not matter."""
+    r = np.random.default_rng(12)
+    rows = [(i, " ".join(r.choice(WORDS, r.integers(0, 40), p=np.arange(1, len(WORDS) + 1) / sum(range(len(WORDS) + 1))))) for i in range(90)]
+    fold = lambda i: {2: 2, 3: 1}.get(zlib.crc32(str(i).encode()) % 7, 0)  # noqa: E731  learn 0, deleted 1, test 2
+    words = lambda t: [None, *t.encode().lower().split(), "end"]
+
+    def counts(folds):
+        one, two = Counter(), Counter()
+        for i, t in rows:
+            if fold(i) in folds:
+                w = words(t)
+                one.update(w)
+                two.update(zip(w, w[1:]))
+        total = sum(n for w, n in one.items() if w is not None)
+        return one, two, total, len(one) - (None in one)
+
+    def parts(model, h, w):
+        one, two, n, _ = model
+        return one[h], two[h, w] / max(1, one[h]), one[w] / max(n, 1)
+
+    level = lambda c: 0 if not c else min(lm.BUCKETS - 1, c.bit_length())
+    learned = counts({0})
+    size = learned[3] + 1
+    cell = lambda p: 0 if p <= 0 else int(np.clip(np.round(np.log2(p * size) / lm.STEP) + 40, 0, lm.CELLS - 1)) + 1
+    value = lambda x: 0.0 if not x else 2.0 ** ((x - 41) * lm.STEP)
+    events = Counter()
+    for i, t in rows:
+        if fold(i) == 1:
+            for h, w in zip(words(t), words(t)[1:]):
+                c, p2, p1 = parts(learned, h, w)
+                events[level(c), cell(p2), cell(p1)] += 1
+    weights, last = [], [0.0, 0.9, 0.1]
+    for b in range(lm.BUCKETS):
+        own = [((value(x), value(y), 1.0), n) for (k, x, y), n in events.items() if k == b]
+        if own:
+            last = [0.4, 0.4, 0.2]
+            for _ in range(60):
+                new = [0.0] * 3
+                for p, n in own:
+                    g = [a * q for a, q in zip(last, p)]
+                    for k in range(3):
+                        new[k] += n * g[k] / sum(g)
+                last = [x / sum(new) for x in new]
+            last = [(x + 1e-9) / (1 + 3e-9) for x in last]
+        weights.append(last)
+    model = counts({0, 1})
+    want = {}
+    for i, t in rows:
+        s = 0.0
+        for h, w in zip(words(t), words(t)[1:]):
+            c, p2, p1 = parts(model, h, w)
+            l2, l1, l0 = weights[level(c)]
+            s += math.log10(l2 * p2 + l1 * p1 + l0 / (model[3] + 1))
+        want[i] = s
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, (chunk, span) in enumerate(((300, 8 << 20), (6_000_000, 100), (1000, 40))):
+        got = lm.score(df, f"{folder}/{k}", chunk_chars=chunk, range_bytes=span).collect()
+        assert len(got) == len(rows) and max(abs(g.score - want[g.doc_id]) for g in got) < 1e-8
+
+
 def test_weights_sum_to_one_and_follow_the_data():
     c = lm.CELLS + 1
     code = np.array([3 * c * c + 60 * c + 41, 3 * c * c + 0 * c + 45])
@@ -204,36 +313,152 @@ def test_language(spark, empty):
     assert by[None].lang_pred == "en" and by[203].rejected and by[203].lang_pred in ("de", "en")
     none = langid.train(df.where("false"))
     assert {g.lang_pred for g in langid.predict(df, none).collect()} == {"und"} and langid.predict(df.where("false"), scorer).count() == 0
-    one, many = scorer.totals(["the dog"]), scorer.totals(["über die", "the dog"])
-    assert np.allclose(one[0], many[1])
+    texts = ["the dog", "über die", "", None, "the dog goes", "12", " ".join(de + en)]
+    want = langid.Table(scorer).totals(texts)
+    for limit in (1, 3, 6):  # generations end in the middle
+        table = langid.Table(scorer, limit)
+        assert all(np.allclose(table.totals(texts), want) for _ in range(3))
+    assert np.allclose(want[0], langid.Table(scorer).totals(["the dog"])[0]) and want[2].sum() == want[3].sum() == want[5].sum() == 0
+    assert langid.known(df, scorer).columns == df.columns and {r.doc_id for r in langid.known(df, scorer).collect()} == {*range(120), None}
+
+
+def plain_kneser_ney(words, floor):
+    """The same model from dictionaries of strings, by the textbook's recursion."""
+    count = Counter()
+    for w, n in words.items():
+        s = " " + w + " "
+        for i in range(1, len(s)):
+            for k in range(1, langid.ORDER + 1):
+                if i - k + 1 >= 0:
+                    count[k, s[i - k + 1 : i + 1], i - k + 1 == 0] += n
+    kinds = {}
+    for (k, g, start), n in count.items():
+        if k == langid.ORDER or (start and k > 1):
+            kinds.setdefault(k, Counter())[g] += n
+    for k in range(1, langid.ORDER):
+        for g in {g for j, g, _ in count if j == k + 1}:
+            kinds.setdefault(k, Counter())[g[1:]] += 1
+    # an n-gram of the same string that starts a word and one that does not can't be confused: the first begins with a blank
+    out = {}
+    for k, c in kinds.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(langid.MOST, max(langid.LEAST, n1 / max(1, n1 + 2 * n2)))
+        total, some = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            some[g[:-1]] += 1
+        out[k] = c, d, total, some
+
+    def p(context, x):
+        k = len(context) + 1
+        lower = p(context[1:], x) if k > 1 else floor
+        c, d, total, some = out.get(k, (Counter(), 0, Counter(), Counter()))
+        if not total[context]:
+            return lower
+        return max(c[context + x] - d, 0) / total[context] + d * some[context] / total[context] * lower
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries():
+    r = np.random.default_rng(4)
+    corpora = {x: Counter({"".join(r.choice(list(letters), r.integers(1, 9))): int(r.integers(1, 5)) for _ in range(150)}) for x, letters in (("a", "abcde"), ("b", "cdefgé"))}
+    scorer = langid.Scorer({x: langid.fit(sorted(c), np.array([c[w] for w in sorted(c)])) for x, c in corpora.items()})
+    tests = ["abc", "a", "ccdd", "zzz", "éé", "abcdeabcde", *list(corpora["a"])[:20], *list(corpora["b"])[:20]]
+    got, n = scorer.logp(tests)
+    for i, x in enumerate(scorer.langs):
+        p = plain_kneser_ney(corpora[x], scorer.floor)
+        for w, g in zip(tests, got[:, i]):
+            s = " " + w + " "
+            assert abs(g - sum(math.log(p(s[max(0, j - langid.ORDER + 1) : j], s[j])) for j in range(1, len(s)))) < 1e-9
+        assert n.tolist() == [len(w) + 1 for w in tests]
+        some = set("abcdefgé ")
+        for context in (" ", "a", "ab", " c"):
+            assert sum(p(context, x) for x in some) <= 1 + 1e-9
+
+
+def test_calibration():
+    r = np.random.default_rng(1)
+    gaps = [(np.array([0.0, 0.02]) if r.random() < 0.8 else np.array([0.02, 0.0]), 0, 10.0) for _ in range(2000)]
+    assert abs(langid.temperature(gaps) * 0.02 * 10 - math.log(4)) < 0.15  # a posterior of 0.8 where 0.8 are right
+    assert 0 < langid.temperature([(np.array([0.0, 1.0]), 0, 10.0)] * 50) < 100  # separable: still inside
 
 
-def test_kneser_ney_is_a_distribution():
-    m = langid.Model(["abab", "abba", "ba"], np.array([3, 2, 1]))
-    total = 0.0
-    for last in ["a", "b", " "]:
-        w = "ab" + last if last != " " else "ab"
-        _, _, grams = langid._grams([w])
-        total += math.exp(m.logp(grams, langid.Model._contexts(grams))[2])
-    assert 0.9 < total <= 1.0001
+def test_rejection_rate(spark):
+    r = np.random.default_rng(6)
+    syllables = {"x": ["ka", "lo", "mi", "tu"], "y": ["ber", "fin", "gos"]}
+    rows = [(i, " ".join("".join(r.choice(syllables[x], r.integers(1, 4))) for _ in range(r.integers(5, 60))), x) for i in range(3000) for x in ["xy"[i % 2]]]
+    junk = [(5000 + i, " ".join("".join(r.choice(list("qwzxvjkh"), r.integers(3, 9))) for _ in range(30)), None) for i in range(100)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").repartition(4)
+    scorer = langid.train(df, per_language=400, calibrate=400, false_reject=0.01)
+    got = langid.predict(df, scorer).withColumn("test", langid.folds(F.col("doc_id")) == 2).collect()
+    clean = [g.rejected for g in got if g.doc_id < 3000 and g.test]
+    assert sum(clean) <= 0.03 * len(clean) and all(g.rejected for g in got if g.doc_id >= 5000)
+    assert all(g.lang_pred == g.lang for g in got if g.lang)
 
 
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
-def test_fingerprints(docs, empty, folder):
-    got = fingerprints.compare_with_next(docs, folder).toPandas()
-    order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
-    assert len(got) == len(order)
-    have = Counter(zip(got["n_chars"], got["edited_sha256"]))
+def plain_chunks(data):
+    """Digest -> length, byte by byte: a chunk ends where the gear hash meets its mask."""
+    import xxhash
+
+    out, start, h = {}, 0, 0
+    for i, c in enumerate(data):
+        h = ((h << 1) + int(fingerprints.GEAR[c])) & 0xFFFFFFFF
+        size = i + 1 - start
+        mask = fingerprints.STRICT if size < fingerprints.NORMAL else fingerprints.LOOSE
+        if (size >= fingerprints.SMALLEST and not h & int(mask)) or size == fingerprints.LARGEST or i + 1 == len(data):
+            out[xxhash.xxh3_64_intdigest(data[start : i + 1]) >> 16] = size
+            start = i + 1
+    return out
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    least = min(sum(a.values()), sum(b.values()))
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    return min(1.0, sum(small[d] for d in set(small) & set(large)) / least)
+
+
+def check_fingerprints(rows, got):
+    import xxhash
+
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)  # noqa: E731  as Spark's hash orders
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1] or "")))
+    want = []
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         t, nxt = t or "", nxt or ""
         k = len(t) // 4
         edited = t[: len(t) - k] + nxt[:k] if k else t
-        assert have[len(t), hashlib.sha256(edited.encode()).hexdigest()], i
-    by = got.set_index("doc_id")
-    assert by.loc[0.0, "fingerprint"] == by.loc[1.0, "fingerprint"] and by.loc[0.0, "near_next"] == 1 and by.loc[4.0, "fingerprint"] == ""
-    assert 0.5 < by.loc[13.0, "near_edited"] <= 1 and fingerprints.compare_with_next(empty, folder).count() == 0
+        own, ed, then = (plain_chunks(x.encode()) for x in (t, edited, nxt))
+        written = lambda c: "".join(f"{d:012x}{n:02x}" for d, n in sorted(c.items()))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(ed), plain_likeness(own, ed), plain_likeness(own, then)))
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_fingerprints(docs, empty, folder):
+    check_fingerprints(TEXTS, fingerprints.compare_with_next(docs, folder).collect())
+    assert fingerprints.compare_with_next(empty, folder).count() == 0
+    check_fingerprints([TEXTS[0]], fingerprints.compare_with_next(docs.where("doc_id = 0"), folder).collect())
+
+
+def test_fingerprints_in_many_ranges(spark, folder):
+    """Shuffle partitions in the thousands, one id that a third of the rows share, rows that are all alike."""
+    rows = [(7 if i % 3 == 0 else i, text(i % 400, 5 + i % 9)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("7", "3000"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            some = df.coalesce(1) if n == "3000" else df
+            check_fingerprints(rows, fingerprints.compare_with_next(some, folder).coalesce(4).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        check_fingerprints([(None, "x")] * 50, fingerprints.compare_with_next(spark.createDataFrame([(None, "x")] * 50, "doc_id long, text string"), folder).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_chunks_shift():
@@ -276,20 +501,59 @@ def test_cover_tree(spark, folder):
 
 def test_cover_tree_invariants():
     x = covertree.unit(np.random.default_rng(7).normal(size=(300, 3)))
-    def walk(n):
+    depth = Counter()
+
+    def walk(n, level=0):
+        depth[level] += 1
         assert (covertree._far(x[n.idx], x[[n.center]]) <= n.radius + 1e-12).all()
         assert sorted(np.concatenate([n.points, *(k.idx for k in n.kids)])) == sorted(n.idx)
         for k in n.kids:
-            assert len(k.idx) > covertree.LEAF
-            walk(k)
+            assert len(k.idx) > 1 and (len(k.idx) <= covertree.LEAF or k.kids or len(k.points))
+            walk(k, level + 1)
+        if n.kids:  # a net: centres are further apart than half the level, which every radius is below
+            far = covertree._far(x[n.at], x[n.at])
+            assert min(far[np.triu_indices(len(far), 1)], default=9) > max(k.radius for k in n.kids) - 1e-9
+
     root = covertree.build(x)
     walk(root)
+    assert len(depth) > 2
     for limit in (0.01, 0.3, 1.0):
         i, j = covertree._pairs_within(root, x, root, x, limit, True)
         want = {(a, b) for a, b in zip(*np.nonzero(covertree._far(x, x) <= limit)) if a < b}
         assert {(int(a), int(b)) for a, b in zip(i, j)} == {(int(a), int(b)) for a, b in want} and len(i) == len(want)
 
 
+def test_cover_tree_prunes():
+    r = np.random.default_rng(0)
+    x = covertree.unit(np.repeat(r.normal(size=(40, 32)), 30, 0) + r.normal(size=(1200, 32)) * 0.1)
+    limit, n = math.sqrt(0.1), len(x)
+    for y, same, pairs in ((x, True, n * (n - 1) / 2), (covertree.unit(x[::-1] + r.normal(size=x.shape) * 0.02), False, n * n)):
+        found, stats = [], {}
+        a = covertree.build(x)
+        covertree.dual(a, x, a if same else covertree.build(y), y, limit, found, same, stats)
+        want = covertree._far(x, y) <= limit
+        assert sum(len(i) for i, _ in found) == (np.triu(want, 1) if same else want).sum() > 1000
+        assert stats["products"] < 0.2 * pairs and stats["pruned"] > 0.5 * stats["met"] > 0
+    loose = covertree.unit(r.normal(size=(1500, 64)))  # nothing to prune: still no pair twice
+    stats, tree = {}, covertree.build(loose)
+    covertree.dual(tree, loose, tree, loose, limit, [], True, stats)
+    assert stats["products"] < 1.15 * 1500 * 1499 / 2
+
+
+def test_cover_tree_groups(spark, folder, monkeypatch):
+    """Many blocks in several groups, tiny components among them."""
+    monkeypatch.setattr(covertree, "GROUP", 2)
+    r = np.random.default_rng(8)
+    x = np.repeat(r.normal(size=(30, 6)), 10, 0) * 10.0 ** r.integers(-200, 200, (300, 1)) * (1 + r.normal(size=(300, 6)) * 0.05)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(2)
+    u = covertree.unit(x)
+    want = u @ u.T >= 0.95
+    got = {g.vec_id: g for g in covertree.near(df, folder, block=8, pivots=5).collect()}
+    comp = union([(i, j) for i, j in zip(*np.nonzero(want))], range(300))
+    for i in range(300):
+        assert (got[i].n_links, got[i].component_id) == (want[i].sum() - 1, comp[i])
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
@@ -374,6 +638,35 @@ def test_minhash(spark, docs, empty, folder, k):
     assert minhash.clusters(empty, folder + "/e", k=k).count() == 0
 
 
+def test_hot_half_key_is_spread(spark, folder, monkeypatch):
+    """Many near copies that share most half-keys, no two of them linked through the smallest id."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 8)
+    r = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(240):
+        w = list(base)
+        at = int(r.integers(0, 50))
+        w[at : at + 3 + i % 7] = [f"n{r.integers(0, 1000)}" for _ in range(3 + i % 7)]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {g.doc_id: g.component_id for g in minhash.clusters(df, folder, k=2, alike=0).collect()}
+    sets = [(i, shingle_set(t, 2)) for i, t in rows]
+    pairs = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if 100 * len(s & t) >= 80 * len(s | t)]
+    assert pairs and got == union(pairs, range(240)) and len(set(got.values())) > 1
+    pairs = minhash.block_pairs(spark.createDataFrame([(1, 0, 100, k) for k in range(100)] + [(2, 0, 3, k) for k in range(3)], "h long, pos int, n long, id long").withColumn("main", F.col("id") > 0), 10, ["id"])
+    deals = pairs.groupBy("h").agg(F.count("*").alias("pairs"), F.countDistinct("i", "j").alias("keys"), F.max(F.size("x")).alias("most")).collect()
+    assert all(d.pairs == d.keys for d in deals) and {d.h: d.pairs for d in deals}[1] > 50 and max(d.most for d in deals) < 40
+
+
+def test_kept_does_not_drop_another_text_of_the_same_id(spark, folder):
+    rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (1, "A B C D E F G H"), (2, "a b c d e f g h"), (3, "other words are here now"), (None, "a b c d e f g h")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _gone int, _s1 int").repartition(2)
+    out = minhash.kept(df, folder, k=5)
+    assert out.columns == df.columns
+    assert Counter((r.doc_id, r.text.lower()) for r in out.collect()) == Counter([(1, "a b c d e f g h"), (1, "p q r s t u v w"), (3, "other words are here now"), (None, "a b c d e f g h")])
+
+
 def test_kept(docs, folder):
     out = minhash.kept(docs, folder, k=5)
     ids = [r.doc_id for r in out.collect()]
