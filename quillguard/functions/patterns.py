@@ -5,7 +5,9 @@ Patterns are stated in the RE2 dialect: ``\\b``, ``\\d`` and ``\\s`` are ASCII,
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 # --- Fixed values: kinds, patterns, groups and validators of the detectors, in order --------------
 
@@ -51,8 +53,14 @@ TOKEN_SPAN = r"\[[A-Z][A-Z_]*_\d+\]"
 #: Default given names, written for this library; pass another list for full parity with one.
 GIVEN_NAMES = ["Alice", "Anna", "Carlos", "Daniel", "David", "Elena", "Emma", "Eva", "George", "Hans", "Ivan", "James", "Jane", "John", "Julia", "Laura", "Lucas", "Maria", "Marie", "Mark", "Martin", "Michael", "Nikos", "Olga", "Paul", "Peter", "Robert", "Sara", "Sofia", "Thomas"]
 
-EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+#: Boundaries never fold case, or letters beyond ASCII would count as word characters.
+_ASCII = "0-9A-Za-z_"
+EDGE = rf"(?-i:(?<=[{_ASCII}])(?![{_ASCII}])|(?<![{_ASCII}])(?=[{_ASCII}]))"
+#: The same where a word character certainly follows, and where one certainly precedes: one test instead of four.
+OPENS, CLOSES = rf"(?-i:(?<![{_ASCII}]))", rf"(?-i:(?![{_ASCII}]))"
 _SPACE = r"\t\n\f\r "
+#: Letters beyond ASCII that fold to ASCII ones.
+_FOLDS = {"s": "\u017f", "k": "\u212a"}
 
 
 def quoted(term: str) -> str:
@@ -60,16 +68,110 @@ def quoted(term: str) -> str:
     return "".join("\\" + c if c in r"\.+*?()|[]{}^$" else c for c in term)
 
 
-def ported(pattern: str, java: bool = False) -> str:
+def _boundaries(pattern: str) -> list[str]:
+    """What each ``\\b`` of ``pattern`` may be written as, in order: ``OPENS`` or ``CLOSES`` where the
+    characters after or before it are all ASCII word characters, else ``EDGE``, or its
+    two cases by name where the characters that can follow are known."""
+    from re import _constants as c, _parser
+
+    out: list[str] = []
+    try:
+        # letters beyond ASCII are no word characters here, whichever they are
+        tree = _parser.parse(re.sub(r"\\p\{L\}", "\u00e9", pattern), re.ASCII)
+    except (re.error, OverflowError):
+        return out
+    folds = bool(tree.state.flags & re.IGNORECASE)
+
+    def some(ch: int) -> set[str]:
+        x = chr(ch)
+        return {x, x.lower(), x.upper(), *filter(None, (_FOLDS.get(x.lower()),))} if folds else {x}
+
+    def chars(op, arg) -> set[str] | None:
+        if op is c.LITERAL:
+            return some(arg)
+        if op is c.IN and arg[0][0] is not c.NEGATE:
+            found: set[str] = set()
+            for kind, x in arg:
+                if kind is c.LITERAL:
+                    found |= some(x)
+                elif kind is c.RANGE and x[1] < 128:
+                    found |= {y for z in range(x[0], x[1] + 1) for y in some(z)}
+                elif kind is c.CATEGORY and x is c.CATEGORY_DIGIT:
+                    found |= set("0123456789")
+                else:
+                    return None
+            return found
+        return None
+
+    def edge(items, step) -> tuple[set[str] | None, bool]:
+        """Characters that may come first (last, backwards), None for unknown; and whether there may be none."""
+        found: set[str] = set()
+        for op, arg in list(items)[::step]:
+            if op is c.AT:
+                continue
+            if op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                got, empty = edge(arg[2], step)
+                empty = empty or arg[0] == 0
+            elif op is c.SUBPATTERN:
+                if arg[1] or arg[2]:
+                    return None, True  # flags of its own
+                got, empty = edge(arg[3], step)
+            elif op is c.BRANCH:
+                each = [edge(x, step) for x in arg[1]]
+                got, empty = (None if any(x is None for x, _ in each) else set().union(*(x for x, _ in each))), any(e for _, e in each)
+            else:
+                got, empty = chars(op, arg), False
+            if got is None:
+                return None, True
+            found |= got
+            if not empty:
+                return found, False
+        return found, True
+
+    word = lambda x, empty: x is not None and not empty and bool(x) and all(y.isascii() and (y.isalnum() or y == "_") for y in x)
+
+    def walk(items) -> None:
+        items = list(items)
+        for i, (op, arg) in enumerate(items):
+            if op is c.AT and arg is c.AT_BOUNDARY:
+                after, before = edge(items[i + 1 :], 1), edge(items[:i], -1)
+                if word(*after):
+                    out.append(OPENS)
+                elif word(*before):
+                    out.append(CLOSES)
+                elif after[0] and not after[1] and len(after[0]) <= 128:
+                    of = lambda xs: "(?=[" + "".join("\\" + x if x in "\\]^-[&~" else x for x in sorted(xs)) + "])"
+                    inner = {x for x in after[0] if word({x}, False)}
+                    rest = after[0] - inner
+                    out.append("(?-i:" + "|".join([OPENS + of(inner)] * bool(inner) + [rf"(?<=[{_ASCII}])" + of(rest)] * bool(rest)) + ")")
+                else:
+                    out.append(EDGE)
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                walk(arg[2])
+            elif op is c.SUBPATTERN:
+                walk(arg[3])
+            elif op is c.BRANCH:
+                for x in arg[1]:
+                    walk(x)
+
+    walk(tree)
+    return out
+
+
+@lru_cache(maxsize=1024)
+def ported(pattern: str, java: bool = False, plain: bool = False) -> str:
     """An RE2 pattern for Python's ``regex`` module or for Java: the ASCII meaning of ``\\b``, ``\\d`` and
-    ``\\s`` is spelled out, and case folding is Unicode's, as RE2's is."""
+    ``\\s`` is spelled out, and case folding is Unicode's, as RE2's is. ``plain`` writes every boundary
+    in its general form."""
     out, inside, i = [], False, 0
+    known = [] if plain else _boundaries(pattern)
+    edges = iter(known if len(known) == pattern.count(r"\b") else [])
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
             two = pattern[i : i + 2]
             body = {r"\d": "0-9", r"\s": _SPACE}.get(two)
-            out.append(EDGE if two == r"\b" and not inside else (body if inside else f"[{body}]") if body else two)
+            out.append(next(edges, EDGE) if two == r"\b" and not inside else (body if inside else f"[{body}]") if body else two)
             i += 2
             continue
         if c == "[" and not inside:
