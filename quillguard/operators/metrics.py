@@ -39,6 +39,13 @@ def status_class(status: Column) -> Column:
     return F.when(status >= 500, "5xx").when(status >= 400, "4xx").when(status >= 300, "3xx").when(status >= 200, "2xx").otherwise("1xx")
 
 
+def exposition_histogram(buckets: DataFrame, name: str, labels: list[str]) -> DataFrame:
+    """Text lines of ``histogram``'s rows: ``name_bucket`` with ``le`` last, ``name_sum`` and ``name_count``."""
+    once = buckets.where("le = '+Inf'")
+    lines = [exposition(buckets, f"{name}_bucket", [*labels, "le"], "cumulative"), exposition(once, f"{name}_sum", labels, "sum"), exposition(once, f"{name}_count", labels, "count")]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
 def exposition(counters: DataFrame, name: str, labels: list[str], value: str = "total") -> DataFrame:
     """Text lines ``name{label="value"} n`` in label order."""
     quoted = [F.concat(F.lit(f'{x}="'), F.regexp_replace(F.regexp_replace(F.col(x).cast("string"), r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"')) for x in labels]

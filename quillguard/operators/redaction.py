@@ -35,6 +35,13 @@ def redact_udf(kernel: Kernel) -> Callable[[Column], Column]:
     return redact
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than there are cores, such as one of a file with a single row
+    group, dealt out to all of them: detection costs far more than moving the text. Others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def redact(df: DataFrame, column: str = "text", pack: list[Detector] | None = None, into: str = "redacted") -> DataFrame:
     """Adds ``into`` struct<text, counts>. One Arrow pass, no shuffle; any other column is kept."""
     ship(df.sparkSession)
@@ -57,26 +64,25 @@ def redact_entities(df: DataFrame, text: str, entities: str, into: str = "redact
     return df.withColumn(into, apply(F.col(text), F.col(entities)))
 
 
-def redact_with_recogniser(df: DataFrame, recognise: Callable[[list[str]], list[list[tuple[str, str]]]], column: str = "text", pack: list[Detector] | None = None) -> DataFrame:
-    """The pack, then entities of a user's recogniser, called once for each Arrow batch. When it raises,
-    the batch keeps the pack's result: an outage never stops redaction."""
+def redact_with_recogniser(df: DataFrame, recognise: Callable[[list[str]], list[list[tuple[str, str]]]], column: str = "text", pack: list[Detector] | None = None, into: str = "redacted") -> DataFrame:
+    """Adds ``into`` struct<text, counts>: the pack, then entities of a user's recogniser, called once for
+    each Arrow batch. When it raises, the batch keeps the pack's result: an outage never stops redaction."""
     ship(df.sparkSession)
     kernel = Kernel(pack if pack is not None else detectors())
-    at = df.columns.index(column)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scopes = [Scope() for _ in range(len(pdf))]
-            texts = [None if t is None else kernel.redact(t, s) for t, s in zip(pdf.iloc[:, at], scopes)]
+    @F.pandas_udf(RESULT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for given in batches:
+            scopes = [Scope() for _ in range(len(given))]
+            texts = [None if t is None else kernel.redact(t, s) for t, s in zip(given, scopes)]
             try:
                 found = recognise([t or "" for t in texts])
             except Exception:  # noqa: BLE001  fails open by contract
                 found = [[] for _ in texts]
             texts = [None if t is None else replace_entities(t, e, s) for t, e, s in zip(texts, found, scopes)]
-            yield pdf.assign(redacted=texts, counts=[s.counts for s in scopes])
+            yield pd.DataFrame({"text": texts, "counts": [s.counts for s in scopes]})
 
-    schema = T.StructType([*df.schema.fields, T.StructField("redacted", T.StringType()), RESULT["counts"]])
-    return df.mapInPandas(run, schema)
+    return df.withColumn(into, run(F.col(column)))
 
 
 def entity_kind(kind: Column) -> Column:
@@ -89,8 +95,12 @@ def entity_kind(kind: Column) -> Column:
 
 def stage(text: Column, d: Detector, seen: Column | None = None) -> Column:
     """One detector as a Catalyst expression: struct<text, values>, ``values`` being those replaced, in
-    order. ``seen`` holds the distinct values of this kind from earlier stages."""
+    order. ``seen`` holds the distinct values of this kind from earlier stages. A text without a match
+    costs one search."""
     pattern = F.lit(ported(d.pattern, java=True))
+    found = F.rlike(text, pattern)
+    if "@" in d.pattern:
+        found = text.contains("@") & found
     whole, value = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(d.group))
     parts = F.split(text, ported(d.pattern, java=True), -1)
     valid = COLUMNS[d.validator] if d.validator else (lambda c: F.lit(True))
@@ -102,7 +112,9 @@ def stage(text: Column, d: Detector, seen: Column | None = None) -> Column:
         return F.when(valid(v), F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(v)), F.lit(f"[{d.kind}_"), n.cast("string"), F.lit("]"))).otherwise(m)
 
     replaced = F.concat(F.zip_with(whole, value, token), F.array(F.lit("")))
-    return F.struct(F.array_join(F.zip_with(parts, replaced, lambda p, r: F.concat(p, r)), "").alias("text"), kept.alias("values"))
+    changed = F.struct(F.array_join(F.zip_with(parts, replaced, lambda p, r: F.concat(p, r)), "").alias("text"), kept.alias("values"))
+    none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("values"))
+    return F.when(found, changed).otherwise(none)
 
 
 def counts_by_kind(df: DataFrame, counts: str = "redacted.counts") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..functions.patterns import quoted
 from ..functions.wire import gemini_column
 
 #: Headers of one hop, which are not forwarded.
@@ -25,7 +26,8 @@ def header(headers: Column, name: str) -> Column:
 
 
 def query_value(query: Column, key: str) -> Column:
-    return F.parse_url(F.concat(F.lit("http://h/?"), F.coalesce(query, F.lit(""))), F.lit("QUERY"), F.lit(key))
+    """The first value of a plain ``key``, as written; '' without one. Any text is a query string here."""
+    return F.regexp_extract(F.coalesce(query, F.lit("")), rf"(?:^|&){quoted(key)}=([^&#]*)", 1)
 
 
 def provider(path: Column, headers: Column, query: Column, model: Column, autodetect: bool = True) -> Column:

@@ -56,6 +56,7 @@ class Stream:
     numbers: dict = field(default_factory=dict)
     counts: dict = field(default_factory=dict)
     keep_all: bool = False  # hold text until its block ends
+    told: dict = field(default_factory=dict)  # counts that output rows carry already
 
     def text(self, text: str, kernel: Kernel, reveal: Callable[[str], str] | None) -> str:
         out = kernel.redact(text, Scope(self.numbers, self.counts))
@@ -138,6 +139,17 @@ class Stream:
         return changed
 
 
+def _told(s: Stream, make: Callable[[], list]) -> list[tuple[str, bool, dict[str, int]]]:
+    """Lines that ``make`` gives, the last one with the counts that ``s`` gained meanwhile; gains without
+    a line wait for the next one."""
+    lines = make()
+    if not lines:
+        return []
+    gained = {k: n - s.told.get(k, 0) for k, n in s.counts.items() if n > s.told.get(k, 0)}
+    s.told = dict(s.counts)
+    return [*((x, made, {}) for x, made in lines[:-1]), (*lines[-1], gained)]
+
+
 def process(path: str, lines: Iterable[str], kernel: Kernel, reveal=None, keep_all: bool = False) -> tuple[list[tuple[str, bool]], dict[str, int]]:
     """A whole stream at once: output lines and counts."""
     s = Stream(path, keep_all=keep_all)
@@ -145,14 +157,15 @@ def process(path: str, lines: Iterable[str], kernel: Kernel, reveal=None, keep_a
     return out + [(x, True) for x in s.flush(kernel, reveal)], s.counts
 
 
-OUTPUT = "stream_id string, event_seq long, part int, line string, synthetic boolean"
+OUTPUT = "stream_id string, event_seq long, part int, line string, synthetic boolean, counts map<string,int>"
+COLUMNS = [x.split()[0] for x in OUTPUT.split(", ")]
 STATE = "state string"
 LAST_PART = 1 << 20
 
 
 def redact_streams(lines: DataFrame, pack: list[Detector] | None = None, end_timeout_ms: int = 60_000, keep_all: bool = False) -> DataFrame:
     """Streaming ``lines`` (stream_id, path, event_seq, line) -> (stream_id, event_seq, part, line,
-    synthetic).
+    synthetic, counts); a row's counts are what was replaced since the row before.
 
     State by stream. Lines are handled in event_seq order, which counts from 0 without gaps in each
     stream: one that arrives early waits in the state. A stream without lines for ``end_timeout_ms``
@@ -169,7 +182,7 @@ def redact_streams(lines: DataFrame, pack: list[Detector] | None = None, end_tim
             if saved["stream"] is None:
                 saved["stream"] = vars(Stream(path, keep_all=keep_all))
             s = Stream(**saved["stream"])
-            rows.extend((key[0], seq, i, x, made) for i, (x, made) in enumerate(s.line(line, kernel)))
+            rows.extend((key[0], seq, i, *x) for i, x in enumerate(_told(s, lambda: s.line(line, kernel))))
             saved["stream"], saved["next"] = vars(s), seq + 1
 
         if state.hasTimedOut:
@@ -177,7 +190,7 @@ def redact_streams(lines: DataFrame, pack: list[Detector] | None = None, end_tim
                 take(int(seq), *saved["early"][seq])
             if saved["stream"]:
                 s = Stream(**saved["stream"])
-                rows.extend((key[0], saved["next"] - 1, LAST_PART + i, x, True) for i, x in enumerate(s.flush(kernel, None)))
+                rows.extend((key[0], saved["next"] - 1, LAST_PART + i, *x) for i, x in enumerate(_told(s, lambda: [(x, True) for x in s.flush(kernel, None)])))
             state.remove()
         else:
             for pdf in frames:
@@ -189,28 +202,42 @@ def redact_streams(lines: DataFrame, pack: list[Detector] | None = None, end_tim
                 take(seq, *saved["early"].pop(str(seq)))
             state.update((json.dumps(saved),))
             state.setTimeoutDuration(end_timeout_ms)
-        yield pd.DataFrame(rows, columns=["stream_id", "event_seq", "part", "line", "synthetic"])
+        yield pd.DataFrame(rows, columns=COLUMNS)
 
     return lines.groupBy("stream_id").applyInPandasWithState(handle, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def redact_stream_table(lines: DataFrame, pack: list[Detector] | None = None, keep_all: bool = False) -> DataFrame:
-    """The same for streams that lie in a table: each is a group of its own, in event_seq order."""
+def redact_stream_table(lines: DataFrame, pack: list[Detector] | None = None, keep_all: bool = False, reveal: Callable[[str], str] | None = None) -> DataFrame:
+    """The same for streams that lie in a table, in event_seq order. Lines are sorted by Spark, which
+    spills, and pass one by one: a task holds one stream's state, never a stream. ``reveal`` maps
+    redacted text to what the client sees."""
     ship(lines.sparkSession)
     kernel = Kernel(pack if pack is not None else detectors())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, s, rows = pdf.sort_values("event_seq"), None, []
-        for sid, path, seq, line in zip(pdf["stream_id"], pdf["path"], pdf["event_seq"].tolist(), pdf["line"]):
-            s = s or Stream(path, keep_all=keep_all)
-            rows.extend((sid, seq, i, x, made) for i, (x, made) in enumerate(s.line(line, kernel)))
-        rows.extend((sid, seq, LAST_PART + i, x, True) for i, x in enumerate(s.flush(kernel, None)))
-        return pd.DataFrame(rows, columns=["stream_id", "event_seq", "part", "line", "synthetic"])
-
-    return lines.groupBy("stream_id").applyInPandas(run, OUTPUT)
-
-
-def counts(redacted: DataFrame, token_pattern: str = r"\[([A-Z]+)_[0-9]+\]") -> DataFrame:
-    """Tokens by stream and kind in the output lines."""
-    kinds = F.regexp_extract_all("line", F.lit(token_pattern), F.lit(1))
-    return redacted.select("stream_id", F.explode(kinds).alias("kind")).groupBy("stream_id", "kind").agg(F.count("*").alias("n"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = sid = seq = None
+        rows: list[tuple] = []
+
+        def end() -> None:
+            if s is not None:
+                rows.extend((sid, seq, LAST_PART + i, *x) for i, x in enumerate(_told(s, lambda: [(x, True) for x in s.flush(kernel, reveal)])))
+
+        for pdf in batches:
+            for now, path, n, line in zip(pdf["stream_id"], pdf["path"], pdf["event_seq"].tolist(), pdf["line"]):
+                if s is None or now != sid:
+                    end()
+                    s, sid = Stream(path, keep_all=keep_all), now
+                seq = n
+                rows.extend((sid, seq, i, *x) for i, x in enumerate(_told(s, lambda: s.line(line, kernel, reveal))))
+            yield pd.DataFrame(rows, columns=COLUMNS)
+            rows.clear()
+        end()
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+    dealt = lines.select("stream_id", "path", "event_seq", "line").repartition("stream_id").sortWithinPartitions("stream_id", "event_seq")
+    return dealt.mapInPandas(run, OUTPUT)
+
+
+def counts(redacted: DataFrame) -> DataFrame:
+    """The redactor's own counts by stream and kind."""
+    return redacted.select("stream_id", F.explode("counts").alias("kind", "n")).groupBy("stream_id", "kind").agg(F.sum("n").cast("long").alias("n"))

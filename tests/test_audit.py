@@ -38,13 +38,34 @@ def test_chain(spark, log, tmp_path):
     assert audit.verify(back).first().asDict() == {"records": 7, "chain_ok": True, "error": None}
     more = audit.build_chain(spark.createDataFrame([(1, "t", "GET", "/", "m", {}, "00")], "o long, time string, method string, path string, model string, pii_redacted map<string,int>, payload_hash string"), ["o"], prev, 7)
     readers.write_audit(more, f"{tmp_path}/log")
-    assert audit.verify(readers.read_audit(spark, f"{tmp_path}/log").withColumn("pos", audit.F.col("seq"))).first()["records"] == 8
+    assert audit.verify(readers.read_audit(spark, f"{tmp_path}/log")).first()["records"] == 8
     assert [r.seq for r in audit.recent(back, 3).collect()] == [5, 6, 7] and [r.seq for r in audit.recent(back, 2, True).collect()] == [7, 6]
     assert len(audit.root_digest(back)) == 32 and audit.anchor(back, [lambda d: 1 / 0, lambda d: d]) == [audit.root_digest(back)]
     with pytest.raises(RuntimeError):
         audit.anchor(back, [lambda d: 1 / 0])
 
 
+def test_a_log_of_files_of_any_size(spark, tmp_path):
+    schema = "o long, time string, method string, path string, model string, pii_redacted map<string,int>, payload_hash string"
+    last, seq = audit.GENESIS, 0
+    for n in (3, 57, 1, 20):
+        part = audit.build_chain(spark.createDataFrame([(i, "t", "GET", "/", "m", {}, f"{i:02d}") for i in range(n)], schema), ["o"], last, seq).persist()
+        readers.write_audit(part, f"{tmp_path}/log")
+        end = part.orderBy(audit.F.desc("seq")).first()
+        last, seq = end.hash, end.seq
+    back = readers.read_audit(spark, f"{tmp_path}/log")
+    assert audit.verify(back).first().asDict() == {"records": 81, "chain_ok": True, "error": None}
+    assert [r.pos for r in back.orderBy("seq").collect()] == list(range(1, 82))
+    (tmp_path / "long.jsonl").write_text('{"seq":1,"model":"' + "x" * readers.LONGEST + '"}\n')
+    assert readers.read_audit(spark, str(tmp_path / "long.jsonl")).first().seq is None
+
+
+def test_odd_query_strings(spark):
+    rows = [("a=b c|d",), ("key=",), ("akey=1",), ("a=b&key=z%zz",), (None,), ("key=1#x",), ("%",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "q string").select(routing.query_value(audit.F.col("q"), "key")).collect()]
+    assert got == ["", "", "", "z%zz", "", "1", ""]
+
+
 def test_breaks(spark, log, tmp_path):
     lines = [r.value for r in log.orderBy("seq").select(audit.F.to_json(audit.F.struct("*")).alias("value")).collect()]
 

@@ -55,6 +55,14 @@ def test_other_formats_and_reveal():
     assert "seen" in sse.process("/v1/responses", ['data: {"text":"a@b.io"}\n'], K, reveal=lambda s: s.replace("[EMAIL_1]", "seen"))[0][0][0]
 
 
+def test_counts_are_the_redactors_own(spark):
+    jwt = "eyJ" + ".".join(["a" * 14] * 3)
+    lines = [("s", "/v1/messages", 0, delta(f"password={jwt} and [EMAIL_9]")), ("s", "/v1/messages", 1, 'data: {"type":"message_stop"}\n'), ("t", "/v1/messages", 0, delta("a@b.io " + "w " * 50)), ("t", "/v1/messages", 1, delta("c@d.io"))]
+    out = sse.redact_stream_table(spark.createDataFrame(lines, "stream_id string, path string, event_seq long, line string"))
+    want = {(s, k, n) for s in "st" for k, n in sse.process("/v1/messages", [x[3] for x in lines if x[0] == s], K)[1].items()}
+    assert {tuple(r) for r in sse.counts(out).collect()} == want and ("s", "JWT", 1) in want and ("t", "EMAIL", 2) in want
+
+
 def test_structured_streaming_equals_the_table(spark, tmp_path):
     lines = [("s1", "/v1/messages", i, x) for i, x in enumerate([delta("call jo"), delta("hn@x.com " + "q " * 60), delta("end"), 'data: {"type":"message_stop"}\n'])]
     lines += [("s2", "/v1/chat/completions", i, x) for i, x in enumerate([chat("10.0."), chat("0.1 ok"), "data: [DONE]\n"])]
