@@ -125,9 +125,9 @@ def counts_by_kind(df: DataFrame, counts: str = "redacted.counts") -> DataFrame:
 BODY = T.StructType([T.StructField("body", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType())), T.StructField("parse_ok", T.BooleanType())])
 
 
-def rewritten(path: str | None, body: str | None, direction: str, kernel: Kernel, per_request: bool = False) -> tuple:
+def rewritten(path: str | None, body: str | None, direction: str, kernel: Kernel, per_request: bool = False, assign: Callable[[str, str], str] | None = None) -> tuple:
     """(body, counts, parse_ok). A body that is no JSON object stays as it is, with no counts. Each text
-    field numbers afresh; ``per_request`` numbers through the whole body instead."""
+    field numbers afresh; ``per_request`` numbers through the whole body instead, ``assign`` as it says."""
     try:
         node = canonical.loads(body or "")
         if node is not None and not isinstance(node, dict):
@@ -138,7 +138,7 @@ def rewritten(path: str | None, body: str | None, direction: str, kernel: Kernel
     shared = Scope()
 
     def change(text: str) -> str:
-        scope = Scope(numbers=shared.numbers) if per_request else Scope()
+        scope = Scope(numbers=shared.numbers, assign=assign) if per_request else Scope(assign=assign)
         out = kernel.redact(text, scope)
         for k, n in scope.counts.items():
             total[k] = total.get(k, 0) + n

@@ -114,28 +114,41 @@ def reveal(df: DataFrame, vault: DataFrame, column: str = "text", into: str = "r
     return keyed.join(values, "_row", "left").withColumn(into, F.coalesce(glue(F.col("_t")), F.col(column))).drop("_row", "_t")
 
 
-def reveal_bodies(df: DataFrame, vault: DataFrame, column: str = "body", into: str = "revealed") -> DataFrame:
+def reveal_bodies(df: DataFrame, vault: DataFrame, column: str = "body", into: str = "revealed", map_limit: int = 100_000) -> DataFrame:
     """Reveal in every string of JSON bodies and write them canonically, so that values stay escaped. A
-    body that is not JSON stays. The vault is given to the workers whole."""
+    body that is not JSON stays. A vault of at most ``map_limit`` entries travels to the workers; of a
+    larger one each body gets the entries it names, by a join on the token."""
     import regex
 
     ship(df.sparkSession)
-    known = df.sparkSession.sparkContext.broadcast({r["token"]: r["value"] for r in vault.select("token", "value").toLocalIterator()})
+    token = r"\[([A-Z]+_[0-9]+)\]"
 
-    @F.pandas_udf("string")
-    def apply(bodies: pd.Series) -> pd.Series:
-        token = regex.compile(r"\[([A-Z]+_[0-9]+)\]")
+    def one(body, known):
+        try:
+            node = canonical.loads(body or "")
+        except (ValueError, RecursionError):
+            return body
+        return canonical.dumps(wire.every_string(node, lambda s: regex.sub(token, lambda m: known.get(m[1], m[0]), s)))
+
+    pairs = vault.select("token", "value")
+    some = pairs.limit(map_limit + 1).collect()
+    if len(some) <= map_limit:
+        shared = df.sparkSession.sparkContext.broadcast({r["token"]: r["value"] for r in some})
 
-        def one(body):
-            try:
-                node = canonical.loads(body or "")
-            except (ValueError, RecursionError):
-                return body
-            return canonical.dumps(wire.every_string(node, lambda s: token.sub(lambda m: known.value.get(m[1], m[0]), s)))
+        @F.pandas_udf("string")
+        def apply(bodies: pd.Series) -> pd.Series:
+            return bodies.map(lambda b: one(b, shared.value))
 
-        return bodies.map(one)
+        return df.withColumn(into, apply(F.col(column)))
+
+    @F.pandas_udf("string")
+    def with_own(bodies: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([one(b, k if k is not None else {}) for b, k in zip(bodies, known)])
 
-    return df.withColumn(into, apply(F.col(column)))
+    keyed = df.withColumn("_row", F.xxhash64(F.col(column)))  # bodies that are alike name the same tokens
+    used = keyed.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(token), F.lit(1)))).alias("token")).distinct()
+    own = used.join(pairs, "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_known"))
+    return keyed.join(own, "_row", "left").withColumn(into, with_own(F.col(column), F.col("_known"))).drop("_row", "_known")
 
 
 # --- sealing ---------------------------------------------------------------------------------------

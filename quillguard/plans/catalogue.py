@@ -6,6 +6,8 @@ the same rows on either side.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import wire
@@ -47,22 +49,22 @@ def _digested(df: DataFrame, *keys: str) -> DataFrame:
 
 @query(oracle.by_kind("documents", ["doc_id"], "text", BUILT))
 def redact_counts_by_kind(spark, sf_dir):
-    return redaction.counts_by_kind(redaction.redact(table(spark, sf_dir, "documents").select("text"), into="redacted"))
+    return redaction.counts_by_kind(redaction.redact(redaction.spread(table(spark, sf_dir, "documents").select("text")), into="redacted"))
 
 
 @query(oracle.redacted("documents", ["doc_id"], "text", BUILT))
 def redact_text_documents(spark, sf_dir):
-    return _digested(redaction.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), into="r"), "doc_id")
+    return _digested(redaction.redact(redaction.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), into="r"), "doc_id")
 
 
 @query(oracle.redacted("pages", ["page_id"], "html", BUILT))
 def redact_pages(spark, sf_dir):
-    return _digested(redaction.redact(table(spark, sf_dir, "pages").select("page_id", "html"), "html", into="r"), "page_id")
+    return _digested(redaction.redact(redaction.spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html", into="r"), "page_id")
 
 
 def _single(name: str, d: Detector) -> None:
     def run(spark, sf_dir):
-        docs = table(spark, sf_dir, "documents").select("doc_id", redaction.stage(F.col("text"), d).alias("s"))
+        docs = redaction.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", redaction.stage(F.col("text"), d).alias("s"))
         return docs.select("doc_id", F.col("s.text").alias("redacted"), F.when(F.size("s.values") > 0, F.concat(F.lit(f"{d.kind}="), F.size("s.values").cast("string"))).otherwise("").alias("counts"))
 
     run.__name__ = name
@@ -90,7 +92,7 @@ ORDERS = "(SELECT o_orderkey, {} AS text FROM orders)"
 
 def _synthetic(name: str, key: str, pack: list[Detector]) -> None:
     def run(spark, sf_dir):
-        rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(SYNTH[key]).alias("text"))
+        rows = redaction.spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.expr(SYNTH[key]).alias("text"))
         return _digested(redaction.redact(rows, pack=pack, into="r"), "o_orderkey")
 
     run.__name__ = name
@@ -107,7 +109,7 @@ _synthetic("ner_builtin_names_addresses", "names", NAMES)
 
 @query(oracle.redacted("documents", ["doc_id"], "text", detectors(TERMS)))
 def custom_terms(spark, sf_dir):
-    return _digested(redaction.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), pack=detectors(TERMS), into="r"), "doc_id")
+    return _digested(redaction.redact(redaction.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), pack=detectors(TERMS), into="r"), "doc_id")
 
 
 @query(f"SELECT o_orderkey, {oracle.valid('card', 'card')} AS card_ok, {oracle.valid('amka', 'amka')} AS amka_ok, {oracle.valid('afm', 'afm')} AS afm_ok FROM (SELECT o_orderkey, concat('4', lpad(CAST(o_orderkey * 7919 AS STRING), 15, '3')) AS card, {D11} AS amka, {D9} AS afm FROM orders)")
@@ -244,7 +246,23 @@ def audit_chain_build(spark, sf_dir):
 
 @query("SELECT count(*) AS records, true AS chain_ok, CAST(NULL AS VARCHAR) AS error FROM conversations")
 def audit_chain_verify(spark, sf_dir):
-    return audit.verify(_log(spark, sf_dir).withColumn("pos", F.col("seq")))
+    """The fold is sequential, so the log is kept while its parts are verified."""
+    return audit.verify(_log(spark, sf_dir).withColumn("pos", F.col("seq")).persist())
+
+
+@query("SELECT count(*) AS records, true AS chain_ok, CAST(NULL AS VARCHAR) AS error, count(*) AS last FROM conversations")
+def audit_reopen(spark, sf_dir):
+    """A log written in three appends of different sizes, read back in order and verified."""
+    import tempfile
+
+    from ..sources import readers
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillguard-log-')}"
+    path, log = f"{folder}/audit-{uuid.uuid4().hex}", _log(spark, sf_dir).persist()
+    for low, high in ((0, 3), (3, 60), (60, 1 << 62)):
+        readers.write_audit(log.where((F.col("seq") > low) & (F.col("seq") <= high)), path)
+    back = readers.read_audit(spark, path)
+    return audit.verify(back).crossJoin(back.agg(F.max("pos").alias("last")))
 
 
 TAMPERS = ["model", "count", "reordered", "dropped", "first dropped", "tail dropped"]
@@ -352,6 +370,16 @@ def metrics_exposition(spark, sf_dir):
     return metrics.exposition(metrics.counter(e, ["path"]), "requests_total", ["path"])
 
 
+_HIST_SQL = ORACLE["metrics_latency_histogram"]
+
+
+@query(f"WITH h AS ({_HIST_SQL}) SELECT 'took_bucket{{path=\"' || path || '\",le=\"' || le || '\"}} ' || CAST(cumulative AS VARCHAR) AS line FROM h UNION ALL SELECT 'took_count{{path=\"' || path || '\"}} ' || CAST(count AS VARCHAR) FROM h WHERE le = '+Inf' UNION ALL SELECT 'took_sum{{path=\"' || path || '\"}} ' || CAST(sum(event_id % 1201) AS VARCHAR) FROM (SELECT event_id, {_ROUTE} AS path FROM {_EVENTS}) GROUP BY path")
+def metrics_histogram_exposition(spark, sf_dir):
+    e = _events(spark, sf_dir).select(metrics.normalise_path(F.col("path")).alias("path"), (F.col("event_id") % 1201 / F.lit(100.0)).alias("v"))
+    whole = metrics.histogram(e, ["path"], "v").withColumn("sum", F.round(F.col("sum") * 100))
+    return metrics.exposition_histogram(whole, "took", ["path"])
+
+
 _MODEL = "CASE event_id % 4 WHEN 0 THEN 'gemini-1.5' WHEN 1 THEN 'claude-x' ELSE 'gpt' END"
 
 
@@ -362,7 +390,7 @@ def route_provider(spark, sf_dir):
     e = _events(spark, sf_dir)
     some = lambda n, name: F.when(F.col("event_id") % n == 0, F.lit(name)).otherwise(F.lit("x-none"))
     headers = F.map_from_arrays(F.array(some(5, "X-Goog-Api-Key"), F.concat(some(3, "Anthropic-Version"), F.when(F.col("event_id") % 3 == 0, "").otherwise("-2"))), F.array(F.lit("k"), F.lit("v")))
-    q = F.when(F.col("event_id") % 7 == 0, "a=b&key=z").otherwise("a=b")
+    q = F.when(F.col("event_id") % 7 == 0, "a=b c|d&key=z").when(F.col("event_id") % 11 == 0, "%zz{&akey=1&key=").otherwise("a=b")
     p = routing.provider(F.col("path"), headers, q, F.expr(_MODEL))
     to = routing.route(p, {"openai": "https://o", "anthropic": "https://a", "google": "https://g"})
     return e.select("event_id", p.alias("provider"), to["upstream"].alias("upstream"))
@@ -404,3 +432,35 @@ def stream_format(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", sse.stream_format_column(F.col("path")).alias("format"))
 
 
+def _whole(name: str, kind: str, text: str) -> None:
+    """Streams whose blocks are held until they end read like whole texts, and count like them."""
+
+    def run(spark, sf_dir):
+        out = sse.redact_stream_table(_sse(spark, sf_dir, kind), keep_all=True).withColumn("p", F.split("stream_id", "-"))
+        piece = F.coalesce(F.get_json_object(F.regexp_replace("line", "^data: ", ""), text), F.lit(""))
+        rows = out.groupBy(F.col("p")[0].cast("long").alias("conv_id"), F.col("p")[1].cast("long").alias("turn")).agg(F.array_sort(F.collect_list(F.struct("event_seq", "part", piece.alias("t")))).alias("x"), F.sum(F.coalesce(F.try_element_at("counts", F.lit("EMAIL")), F.lit(0))).cast("long").alias("emails"))
+        return rows.select("conv_id", "turn", F.array_join(F.transform("x", lambda e: e["t"]), "").alias("text"), "emails")
+
+    run.__name__ = name
+    query(f"WITH {oracle.chain(_TURNS, ['conv_id', 'turn'], 'text', BUILT)} SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, t AS text, CAST(len(k_EMAIL) AS BIGINT) AS emails FROM s{len(BUILT)}")(run)
+
+
+_whole("stream_whole_blocks_messages", "messages", "$.delta.text")
+_whole("stream_whole_blocks_chat", "chat", "$.choices[0].delta.content")
+
+
+@query(f"SELECT conv_id, turn, concat('to u', CAST(conv_id AS STRING), '@example.com') AS json, concat('to u', CAST(conv_id AS STRING), '@example.com') AS stream, true AS redacted FROM conversations WHERE turn = 1")
+def response_auto_reveal(spark, sf_dir):
+    """Tokens of earlier requests come back as values to the client; what is kept stays redacted."""
+    c = table(spark, sf_dir, "conversations").where("turn = 1").select("conv_id", "turn")
+    value = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("@example.com"))
+    known = c.select(F.lit("EMAIL").alias("kind"), (F.col("conv_id").cast("long") + 1).alias("n"), value.alias("value")).distinct().withColumn("token", F.concat(F.lit("EMAIL_"), F.col("n").cast("string")))
+    text = F.concat(F.lit("to ["), F.lit("EMAIL_"), (F.col("conv_id") + 1).cast("string"), F.lit("]"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content")))
+    event = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), text.alias("text")).alias("delta")))
+    base = c.withColumn("path", F.lit("/v1/messages"))
+    rows = base.select("*", F.lit("application/json").alias("content_type"), body.alias("body")).unionByName(base.select("*", F.lit("text/event-stream").alias("content_type"), F.concat(F.lit("data: "), event, F.lit("\n\ndata: {\"type\":\"message_stop\"}\n\n")).alias("body")))
+    out = traffic.process_responses(rows, vault=known, auto_reveal=True, vault_limit=10_000_000)
+    shown = F.regexp_extract("client_body", r"(to u[0-9]+@example\.com)", 1)
+    clean = ~F.col("redacted_body").contains("@example")
+    return out.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("content_type").startswith("app"), shown)).alias("json"), F.max(F.when(F.col("content_type").startswith("text"), shown)).alias("stream"), F.min(clean).alias("redacted"))

@@ -56,10 +56,11 @@ class Stream:
     numbers: dict = field(default_factory=dict)
     counts: dict = field(default_factory=dict)
     keep_all: bool = False  # hold text until its block ends
+    assign: Callable[[str, str], str] | None = None  # numbering in place of the stream's own; not kept as state
     told: dict = field(default_factory=dict)  # counts that output rows carry already
 
     def text(self, text: str, kernel: Kernel, reveal: Callable[[str], str] | None) -> str:
-        out = kernel.redact(text, Scope(self.numbers, self.counts))
+        out = kernel.redact(text, Scope(self.numbers, self.counts, self.assign))
         return reveal(out) if reveal else out
 
     def feed(self, text: str, kernel, reveal) -> str:
@@ -150,9 +151,9 @@ def _told(s: Stream, make: Callable[[], list]) -> list[tuple[str, bool, dict[str
     return [*((x, made, {}) for x, made in lines[:-1]), (*lines[-1], gained)]
 
 
-def process(path: str, lines: Iterable[str], kernel: Kernel, reveal=None, keep_all: bool = False) -> tuple[list[tuple[str, bool]], dict[str, int]]:
+def process(path: str, lines: Iterable[str], kernel: Kernel, reveal=None, keep_all: bool = False, assign: Callable[[str, str], str] | None = None) -> tuple[list[tuple[str, bool]], dict[str, int]]:
     """A whole stream at once: output lines and counts."""
-    s = Stream(path, keep_all=keep_all)
+    s = Stream(path, keep_all=keep_all, assign=assign)
     out = [x for line in lines for x in s.line(line, kernel, reveal)]
     return out + [(x, True) for x in s.flush(kernel, reveal)], s.counts
 
