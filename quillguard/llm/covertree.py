@@ -81,56 +81,56 @@ def dual(a: Node, x: np.ndarray, b: Node, y: np.ndarray, limit: float, found: li
         a, b, own = stack.pop()
         p, q = len(a.points), len(b.points)
         ra, rb = np.concatenate((np.zeros(p), a.radii)), np.concatenate((np.zeros(q), b.radii))
-        near: dict[int, list] = {}  # of a kid of a: what of b it has to be compared with
-        for s in range(0, len(a.at), TILE):
-            e, c = min(s + TILE, len(a.at)), s if own else 0
-            cos = x[a.at[s:e]] @ y[b.at[c:]].T
+        # of each kid of a, or of b: the points of the other side that it has to be compared with
+        near_a: dict[int, list] = {}
+        near_b: dict[int, list] = {}
+        xa, yb = x[a.at], y[b.at]
+        tile = TILE if own else 4 * TILE
+        for s in range(0, len(a.at), tile):
+            e, c = min(s + tile, len(a.at)), s if own else 0
+            cos = xa[s:e] @ yb[c:].T
             products += cos.size
-            bound = np.full(cos.shape, nearest)
-            if b.kids:
-                bound[:, max(0, q - c) :] = 1 - np.minimum(2.0001, limit + rb[max(q, c) :]) ** 2 / 2
-            if e > p and a.kids:
-                r = max(0, p - s)
-                bound[r:] = 1 - np.minimum(2.0001, limit + ra[s + r : e, None] + rb[None, c:]) ** 2 / 2
-            hit = cos >= bound
-            if own:
-                k = np.arange(e - s)
-                hit[:, : e - s] &= (k[:, None] < k) | ((k[:, None] == k) & (k[:, None] + s >= p))
-            if a.kids or b.kids:
-                rows, cols = max(0, min(p, e) - s), max(0, q - c)
-                cells, kept = cos.size - rows * cols, int(hit.sum()) - int(hit[:rows, :cols].sum())
-                met += cells
-                pruned += cells - kept
-            i, j = np.nonzero(hit)
-            i, j = i + s, j + c
-            plain = (i < p) & (j < q)
-            if plain.any():
-                found.append((a.points[i[plain]], b.points[j[plain]]))
-            for k, m in zip(i[~plain].tolist(), j[~plain].tolist()):
-                if k >= p:
-                    near.setdefault(k - p, []).append(m)
-                elif own:  # a point of this node and a kid of it: the kid's side holds the pair
-                    near.setdefault(m - p, []).append(k)
-                else:
-                    stack.append((_loose(a.points[k : k + 1]), b.kids[m - q], False))
-        for k, some in near.items():
-            kid, loose = a.kids[k], []
-            for m in some:
-                if m < q:
-                    loose.append(b.points[m : m + 1])
-                elif own and m - q == k:
-                    stack.append((kid, kid, True))
-                elif not b.kids[m - q].kids:
-                    loose.append(b.kids[m - q].points)
-                else:
-                    stack.append((kid, b.kids[m - q], False))
-            if loose:
-                stack.append((kid, _loose(np.concatenate(loose)), False))
+            if own:  # this tile's own square: each pair once, a node's pair with itself among them
+                k = np.arange(s, e)
+                cos[:, : e - s][(k[:, None] > k) | ((k[:, None] == k) & (k < p))] = -9.0
+            rows, cols = max(0, min(p, e) - s), max(0, q - c)
+            plain = np.flatnonzero(cos[:rows, :cols] >= nearest)
+            if len(plain):
+                found.append((a.points[plain // cols + s], b.points[plain % cols + c]))
+            if rows and c + cols < len(b.at):  # points of a and kids of b
+                close = cos[:rows, cols:] >= _bound(limit + rb[c + cols :])
+                met, pruned = met + close.size, pruned + close.size - int(close.sum())
+                for m in np.flatnonzero(close.any(0)).tolist():
+                    (near_a if own else near_b).setdefault(c + cols + m - q, []).append(a.points[np.flatnonzero(close[:, m]) + s])
+            if s + rows < e:  # kids of a and all of b
+                close = cos[rows:] >= _bound(limit + ra[s + rows : e, None] + rb[c:])
+                met, pruned = met + close.size, pruned + close.size - int(close.sum())
+                for k in np.flatnonzero(close.any(1)).tolist():
+                    kid, some = s + rows + k - p, np.flatnonzero(close[k])
+                    points = some[some < cols]
+                    if len(points):
+                        near_a.setdefault(kid, []).append(b.points[points + c])
+                    for m in (some[len(points) :] + c - q).tolist():
+                        if own and m == kid:
+                            stack.append((a.kids[kid], a.kids[kid], True))
+                        elif not b.kids[m].kids:
+                            near_a.setdefault(kid, []).append(b.kids[m].points)
+                        else:
+                            stack.append((a.kids[kid], b.kids[m], False))
+        for k, some in near_a.items():
+            stack.append((a.kids[k], _loose(np.concatenate(some)), False))
+        for m, some in near_b.items():
+            stack.append((_loose(np.concatenate(some)), b.kids[m], False))
     if stats is not None:
         for k, v in (("products", products), ("met", met), ("pruned", pruned)):
             stats[k] = stats.get(k, 0) + v
 
 
+def _bound(far: np.ndarray) -> np.ndarray:
+    """The least cosine of vectors no further apart than this."""
+    return 1 - np.minimum(2.0001, far) ** 2 / 2
+
+
 def _loose(points: np.ndarray) -> Node:
     return Node(int(points[0]), 2.0, points)
 
@@ -191,7 +191,8 @@ class Block:
             self.ids, self.mult = np.frombuffer(f.read(8 * n), "<i8"), np.frombuffer(f.read(8 * n), "<i8")
             self.raw = np.frombuffer(f.read(8 * n * d), "<f8").reshape(n, d)
             self.tree: Node = pickle.loads(f.read())  # built once, when the block was written
-        self.unit = unit(self.raw)
+        # bounds and products in single precision, with a margin; pairs are confirmed in double
+        self.unit = unit(self.raw).astype(np.float32)
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -301,7 +302,7 @@ def _group(path: str):
 def _walk(shared, total: int, cosine: float):
     """Each block against itself and half of the others, those round the circle after it: groups that the
     bound excludes are not read, blocks that it excludes neither."""
-    limit = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
+    limit = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-4
 
     def run(batches):
         groups = shared.value
