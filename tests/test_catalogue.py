@@ -46,9 +46,12 @@ def test_sql_functions(spark):
 def test_recogniser_fails_open(spark):
     df = spark.createDataFrame([("Bob a@b.io",), (None,)], "text string")
     good = redaction.redact_with_recogniser(df, lambda ts: [[("PER", "Bob")] for _ in ts]).collect()
-    assert good[0].redacted == "[NAME_1] [EMAIL_1]" and good[1].redacted is None
+    assert good[0].redacted.text == "[NAME_1] [EMAIL_1]" and good[1].redacted.text is None
     bad = redaction.redact_with_recogniser(df, lambda ts: 1 / 0).collect()
-    assert bad[0].redacted == "Bob [EMAIL_1]" and bad[0].counts == {"EMAIL": 1}
+    assert bad[0].redacted.text == "Bob [EMAIL_1]" and bad[0].redacted.counts == {"EMAIL": 1}
+    own = df.selectExpr("text", "1 AS redacted", "2 AS counts")  # a table with such columns keeps them
+    again = redaction.redact_with_recogniser(own, lambda ts: [[] for _ in ts], into="r").first()
+    assert (again.redacted, again.counts, again.r.text) == (1, 2, "Bob [EMAIL_1]")
 
 
 def test_stage_carries_numbers(spark):

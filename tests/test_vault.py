@@ -55,3 +55,30 @@ def test_sealing(spark, tmp_path):
     assert vault.load_key(base64.b64encode(key).decode()) == key == vault.decode_key(key) and vault.load_key() is None
     with pytest.raises(ValueError):
         vault.decode_key(b"short")
+
+
+def test_bodies_are_revealed_alike_with_a_small_and_a_large_vault(spark):
+    bodies = ['{"a":"to [EMAIL_1] and [EMAIL_2], [EMAIL_9]","[EMAIL_1]":1}', "no json [EMAIL_1]", None, '{"x":"[IP_1]"}', '{"x":"[IP_1]"}', "{}"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    known = spark.createDataFrame([("EMAIL", 1, "EMAIL_1", 'q"<a@b.io'), ("EMAIL", 2, "EMAIL_2", "c@d.io"), ("IP", 1, "IP_1", "10.0.0.1")], vault.SCHEMA)
+    want = ['{"[EMAIL_1]":1,"a":"to q\\"\\u003ca@b.io and c@d.io, [EMAIL_9]"}', bodies[1], None, '{"x":"10.0.0.1"}', '{"x":"10.0.0.1"}', "{}"]
+    for limit in (100, 0):
+        out = vault.reveal_bodies(df, known, map_limit=limit)
+        assert out.columns == ["i", "body", "revealed"] and [r.revealed for r in out.orderBy("i").collect()] == want
+
+
+def test_one_plan_for_responses(spark):
+    from quillguard.plans import traffic
+
+    event = 'data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"to [EMAIL_1], new@x.io"}}\n\n'
+    rows = [("/v1/messages", "application/json", '{"content":[{"type":"text","text":"to [EMAIL_1], new@x.io, a@b.io"}]}'), ("/v1/messages", "text/event-stream; charset=utf-8", event + 'data: {"type":"message_stop"}\n\n'), ("/v1/messages", "text/plain", "a@b.io"), ("/v1/messages", None, None)]
+    df = spark.createDataFrame(rows, "path string, content_type string, body string").coalesce(1)
+    known = spark.createDataFrame([("EMAIL", 1, "EMAIL_1", "a@b.io")], vault.SCHEMA)
+    plain, stream, other, none = traffic.process_responses(df, vault=known, auto_reveal=True).collect()
+    assert "to [EMAIL_1], [EMAIL_2], [EMAIL_1]" in plain.redacted_body and "to a@b.io, new@x.io, a@b.io" in plain.client_body and plain.counts == {"EMAIL": 2}
+    assert "@" not in stream.redacted_body and "[EMAIL_2]" in stream.redacted_body and "to a@b.io, new@x.io" in stream.client_body and stream.counts == {"EMAIL": 1}
+    assert other.client_body == other.redacted_body == "a@b.io" and none.redacted_body is None
+    off = traffic.process_responses(df, vault=known).collect()
+    assert all(r.client_body == r.redacted_body for r in off)
+    with pytest.raises(ValueError):
+        traffic.process_responses(df, vault=known, vault_limit=0)
