@@ -169,41 +169,52 @@ def _links(docs, reps, k, percent, alike, folder):
 BLOCK, SET_BLOCK = 1024, 64
 
 
-def block_pairs(rows: DataFrame, size: int, columns: list[str]) -> DataFrame:
+def block_pairs(rows: DataFrame, size: int, columns: list[str], mains: str = "n") -> DataFrame:
     """Pairs of blocks (h, pos, i, j, x, y) of the rows (h, pos, n, id, main, ...) of each half-key: block i
-    of those with ``main`` true against block j of all, about ``size`` rows each. Rows are dealt to
-    blocks by a hash of the id and sent once for each block they meet; the blocks' numbers are part
-    of the join's key, so the pairs of one half-key with any number of members lie in many tasks.
+    of those with ``main`` true against block j of all, about ``size`` rows each. ``n`` counts a
+    half-key's rows, column ``mains`` those with ``main`` true (or bounds them). Rows are dealt to
+    blocks by a hash of the id and blocks, not rows, are sent once for each block they meet; the
+    blocks' numbers are part of the join's key, so the pairs of one half-key with any number of
+    members lie in many tasks.
     """
-    blocks = F.ceil(F.col("n") / size).cast("int")
-    cut = rows.withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    of = lambda c: F.greatest(F.ceil(F.col(c) / size).cast("int"), F.lit(1))
+    own = lambda c: F.pmod(F.xxhash64("id"), of(c)).cast("int")
     block = F.collect_list(F.struct(*columns))
-    xs = cut.where("main").groupBy("h", "pos", F.col("_own").alias("i"), F.col("_met").alias("j")).agg(block.alias("x"))
-    ys = cut.groupBy("h", F.col("_met").alias("i"), F.col("_own").alias("j")).agg(block.alias("y"))
-    return xs.join(ys, ["h", "i", "j"]).select("h", "pos", "i", "j", "x", "y")
+    xs = rows.where("main").groupBy("h", "pos", own(mains).alias("i"), of("n").alias("_met")).agg(block.alias("x"))
+    ys = rows.groupBy("h", own("n").alias("j"), of(mains).alias("_met")).agg(block.alias("y"))
+    met = F.explode(F.sequence(F.lit(0), F.col("_met") - 1))
+    return xs.withColumn("j", met).drop("_met").join(ys.withColumn("i", met).drop("_met"), ["h", "i", "j"]).select("h", "pos", "i", "j", "x", "y")
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """``rows`` (h, component, ...) of the half-keys that several components share, with n (the half-key's
+    rows), main (whether outside its largest component) and mains (how many are)."""
+    by_part = rows.groupBy("h", "component").agg(F.count("*").alias("c"))
+    top = by_part.groupBy("h").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    top = top.select("h", "n", (F.col("n") - F.col("m.c")).alias("mains"), F.col("m.component").alias("_top"))
+    return rows.join(top, "h").withColumn("main", F.col("component") != F.col("_top")).drop("_top")
 
 
 def _across(docs, reps, some, comp, k, percent, alike, folder):
     """Links between components, whole: pairs that share a first half-key, which all table keys' pairs do.
 
-    A half-key's members outside the component of its smallest id are compared with all its members,
-    block against block, so that neither a join nor a task makes the pairs as rows. Short hashes name
-    the documents with a likely partner; the full sets of these alone are then compared in blocks.
-    A pair is taken up in the first half-key that it shares.
+    A half-key's members outside its largest component are compared with all its members, block
+    against block, so that neither a join nor a task makes the pairs as rows. Short hashes name the
+    documents with a likely partner; the full sets of these alone are then compared in blocks, again
+    those outside the largest component with all. A pair is taken up in the first half-key that it
+    shares.
     """
     base = reps.join(some, "id", "left_semi").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "a", "nibbles")
     rows = base.select("*", F.posexplode("a").alias("pos", "h"))
-    stats = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component")).alias("m")).where("low <> high")
-    rows = store.saved(rows.join(stats.select("h", "n", F.col("m.component").alias("main")), "h"), f"{folder}/across")
+    rows = store.saved(_sides(rows), f"{folder}/across")
     half = len(rows.select("a").first()["a"]) if rows.take(1) else 0
     if not half:
         return docs.sparkSession.createDataFrame([], "u long, v long")
     names = ["id", "component", *(f"a{i}" for i in range(half)), *(f"n{i}" for i in range(4))]
-    flat = lambda df, *more: df.select("h", "pos", "n", "main", "id", "component", *(F.col("a")[i].alias(f"a{i}") for i in range(half)), *(F.col("nibbles")[i].alias(f"n{i}") for i in range(4)), *more)
+    flat = lambda df, *more: df.select("h", "pos", "n", "main", "mains", "id", "component", *(F.col("a")[i].alias(f"a{i}") for i in range(half)), *(F.col("nibbles")[i].alias(f"n{i}") for i in range(4)), *more)
 
     def met(df, size, *more):
-        apart = df.withColumn("main", F.col("component") != F.col("main"))
-        return block_pairs(apart, size, [*names, *more]).select("h", "pos", "x", "y")
+        return block_pairs(df, size, [*names, *more], "mains").select("h", "pos", "x", "y")
 
     tile = 256
 
@@ -269,7 +280,7 @@ def _across(docs, reps, some, comp, k, percent, alike, folder):
     named = store.saved(met(flat(rows), BLOCK).mapInArrow(likely, "h long, id long").distinct(), f"{folder}/likely")
     ids = store.saved(named.select("id").distinct(), f"{folder}/likely-ids")
     sets = store.saved(_sets(docs, ids, k), f"{folder}/likely-sets")
-    left = flat(rows).drop("n").join(named, ["h", "id"]).join(named.groupBy("h").agg(F.count("*").alias("n")), "h")
+    left = _sides(store.saved(flat(rows).drop("n", "main", "mains").join(named, ["h", "id"]), f"{folder}/likely-rows"))
     return met(left.join(sets, "id"), SET_BLOCK, "set").mapInArrow(exact, "u long, v long").distinct()
 
 
