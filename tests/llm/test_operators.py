@@ -557,14 +557,10 @@ def test_cover_tree_groups(spark, folder, monkeypatch):
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
-def test_mixing(spark, docs, empty, folder):
-    rows = mixing.repetitions(docs, folder).collect()
-    assert len(rows) == len(TEXTS) and mixing.repetitions(empty, folder + "/e").count() == 0
-    size = Counter()
-    for k, (_, t) in enumerate(TEXTS):
-        size[None if k % 5 == 0 else f"s{k % 3}"] += len((t or "").encode().split())
-    order = sorted((s for s in size if s is not None)) + [None]
-    weight = dict(zip(order, (5, 2, 1, 5)))
+def water(size):
+    """Targets of capped water-filling, by the rule's own words: weights 5, 2, 1, no more than 3 times a size."""
+    order = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
     target, left, free = {}, sum(size.values()), set(order)
     while free:
         level = left / sum(weight[s] for s in free)
@@ -573,6 +569,16 @@ def test_mixing(spark, docs, empty, folder):
             target[s] = 3 * size[s] if over else level * weight[s]
             left -= target[s] if over else 0
         free -= over or free
+    return target
+
+
+def test_mixing(spark, docs, empty, folder):
+    rows = mixing.repetitions(docs, folder).collect()
+    assert len(rows) == len(TEXTS) and mixing.repetitions(empty, folder + "/e").count() == 0
+    size = Counter()
+    for k, (_, t) in enumerate(TEXTS):
+        size[None if k % 5 == 0 else f"s{k % 3}"] += len((t or "").encode().split())
+    target = water(size)
     for r in rows:
         assert r.source_size == size[r.source] and math.isclose(r.target, target[r.source]) and 0 <= r.taken <= 3 * r.size
     again = mixing.repetitions(docs.repartition(5), folder + "/again").collect()
@@ -671,3 +677,51 @@ def test_kept(docs, folder):
     out = minhash.kept(docs, folder, k=5)
     ids = [r.doc_id for r in out.collect()]
     assert out.columns == docs.columns and sorted(i for i in ids if i is not None) == [0, 4, 5, 6, 7, 9, 10, 11, 13, 14, 15] and ids.count(None) == 2
+
+
+# --- pipeline --------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, tmp_path, whole_ids):
+    """Each stage on what the one before it kept, against brute force; then the whole run."""
+    import corpus_pipeline
+
+    de, en = "der hund geht über die straße und schläft heute lang".split(), "the dog goes over that street and sleeps now again".split()
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(r.choice(de if i % 2 else en, int(r.integers(20, 90)))), "de" if i % 2 else "en", None if i % 11 == 0 else f"s{i % 4 * (i % 3)}") for i in range(140)]
+    rows += [(300 + i, rows[i][1].upper() if i % 2 else rows[i][1] + " dog", rows[i][2], f"s{i % 5}") for i in range(0, 140, 9)]  # near and exact copies
+    rows += [rows[0], (400, None, "en", "s1"), (401, "", None, "s1"), (402, "12 ??", "en", None), (403, "жизнь прекрасна сегодня как никогда " * 4, None, "s2"), (404, " ".join(en * 500), "en", "s0")]
+    frame = spark.createDataFrame([(*x, 1, "z") for x in rows], "doc_id long, text string, lang string, source string, size int, component_id string")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, seen = frame, [Counter(map(tuple, frame.collect()))]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = store.saved(stage(spark, docs, str(tmp_path)), f"{tmp_path}/stage-{k}")
+        assert k == 3 or docs.columns == frame.columns
+        seen.append(Counter(map(tuple, docs.collect())))
+    start, known, alone, mixed, _ = seen
+    assert known == Counter({x: n for x, n in start.items() if x[0] not in (400, 401, 402, 403)})
+    sets = {x[0]: shingle_set(x[1], 5) for x in known}
+    ids = sorted(sets)
+    comp = union([(a, b) for i, a in enumerate(ids) for b in ids[:i] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], ids)
+    assert alone == Counter({x for x in known if comp[x[0]] == x[0]}) and len(alone) < len(known)
+    words = lambda x: len(x[1].encode().split())
+    size, taken = Counter(), Counter()
+    for x in alone:
+        size[x[3]] += words(x)
+    for x, n in mixed.items():
+        assert x in alone and n <= 3
+        taken[x[3]] += n * words(x)
+    largest = max(words(x) for x in alone if x[0] != 404)
+    assert all(abs(taken[s] - t) <= (largest if s != "s0" else 5000) for s, t in water(size).items())
+    want = Counter((x[0], at, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for x, n in mixed.items() for ids in [whole_ids(x[1]) + [0]] for at in range(0, len(ids), 2048) for p in [ids[at : at + 2048]] for _ in range(n))
+    for packed in (docs.toPandas(), corpus_pipeline.run(spark, str(tmp_path)).toPandas()):
+        assert Counter(zip(packed["doc_id"].tolist(), packed["start"].tolist(), packed["length"].tolist(), packed["ids_crc32"].tolist())) == want
+        for _, g in packed.sort_values("offset").groupby("sequence_id"):
+            assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() <= 2048
+
+
+def test_pipeline_of_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
